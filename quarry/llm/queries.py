@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_benchmark_decontamination
+from .packing import op8_best_fit_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op10_benchmark_decontamination]
+    found = [op8_best_fit_packing, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
