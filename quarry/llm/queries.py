@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_benchmark_decontamination
 from .packing import op8_best_fit_packing
+from .quality import op4_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op8_best_fit_packing, op10_benchmark_decontamination]
+    found = [op4_quality_rules, op8_best_fit_packing, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
