@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_benchmark_decontamination
+from .jaccard import op6_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .quality import op4_quality_rules
 
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_quality_rules, op8_best_fit_packing, op10_benchmark_decontamination]
+    found = [op4_quality_rules, op6_ngram_jaccard_join, op8_best_fit_packing, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
