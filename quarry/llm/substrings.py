@@ -47,11 +47,11 @@ FLAGGED = "a long, b long, row long, at long, same int, edge int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _rows(a, b, row, at) -> pa.RecordBatch:
+def rows_of(a, b, row, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, np.int64)) for x in (a, b, row, at)], names=["a", "b", "row", "at"])
 
 
-def _pack(start: np.ndarray, last: np.ndarray) -> np.ndarray:
+def packed(start: np.ndarray, last: np.ndarray) -> np.ndarray:
     return start << 9 | (last - start)
 
 
@@ -63,7 +63,7 @@ def _parse(span: int):
             first, last, trigger = phrases(data, offsets, span, s)
             doc = np.searchsorted(offsets, first, "right") - 1
             own = batch.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield _rows(K.span_hash(s, trigger, trigger + TRIGGER), K.span_hash(s, first, last + span), own, _pack(first - offsets[doc], last - offsets[doc]))
+            yield rows_of(K.span_hash(s, trigger, trigger + TRIGGER), K.span_hash(s, first, last + span), own, packed(first - offsets[doc], last - offsets[doc]))
 
     return run
 
@@ -102,8 +102,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flagged(held, before, None)
 
 
-def _recurring(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """(row, at, done, open) of the rows of which a recurs.
+def recurring(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """(b, row, at, done, open) of the rows of which a recurs.
 
     done: a and b recur. open: a recurs with another b, too, and the row is at the
     border of its equals in the order, so that each kind of equals has one open row.
@@ -114,9 +114,9 @@ def _recurring(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     by_a = edges.groupBy("a").agg(F.count("*").alias("of_a"))
     by_ab = edges.groupBy("a", "b").agg(F.count("*").alias("of_ab"))
     across = F.when(F.col("of_ab") > 1, 2).otherwise(0).bitwiseOR(F.when(F.col("of_a") > F.col("of_ab"), 1).otherwise(0))
-    known = edges.join(by_a, "a").join(by_ab, ["a", "b"]).select("row", "at", F.col("same").bitwiseOR(across).alias("same"))
-    both = found.where("edge = 0").select("row", "at", "same").unionByName(known.where("same > 0"))
-    return both.select("row", "at", (F.col("same") >= 2).alias("done"), (F.col("same") % 2 == 1).alias("open"))
+    known = edges.join(by_a, "a").join(by_ab, ["a", "b"]).select("b", "row", "at", F.col("same").bitwiseOR(across).alias("same"))
+    both = found.where("edge = 0").select("b", "row", "at", "same").unionByName(known.where("same > 0"))
+    return both.select("b", "row", "at", (F.col("same") >= 2).alias("done"), (F.col("same") % 2 == 1).alias("open"))
 
 
 def _segments(span: int):
@@ -162,7 +162,7 @@ def _blocks(span: int):
             core = K.mix(K.span_hash(s, p + BLOCK - 1, p + span) ^ mark)
             whole = K.mix(K.span_hash(s, x, y + span) + (x - p).astype(np.uint64))
             shift = start[of] - base[of]
-            yield _rows(core, whole, row[of], _pack(x + shift, y + shift))
+            yield rows_of(core, whole, row[of], packed(x + shift, y + shift))
 
     return run
 
@@ -180,7 +180,7 @@ def _singles(span: int):
             place = np.arange(len(block)) - np.repeat(np.cumsum(each) - each, each) + (at >> 9)[block]
             of = of[block]
             x = place - start[of] + base[of]
-            yield _rows(K.span_hash(s, trigger, trigger + TRIGGER)[of], K.span_hash(s, x, x + span), row[of], _pack(place, place))
+            yield rows_of(K.span_hash(s, trigger, trigger + TRIGGER)[of], K.span_hash(s, x, x + span), row[of], packed(place, place))
 
     return run
 
@@ -218,7 +218,7 @@ def _remove(span: int):
     return run
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def with_lists(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """texts with their list `at`, and the texts that have none, if few enough have one to send the keys out."""
     keys = lists.select("row")
     if lists.count() > SENT_KEYS:
@@ -229,19 +229,19 @@ def _with_lists(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFram
 def cover(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(row, at): packed ranges of starts of strings of `span` bytes that also start elsewhere; row as in `keyed`."""
     texts = keyed(docs)
-    whole = _recurring(spark, texts.select("row", "text").mapInArrow(_parse(span), ROWS), "contexts")
+    whole = recurring(spark, texts.select("row", "text").mapInArrow(_parse(span), ROWS), "contexts")
     done = [whole.where("done").select("row", "at")]
-    open_phrases = written(spark, whole.where("open").distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "open")
-    found, _ = _with_lists(texts.select("row", "text"), open_phrases)
+    open_phrases = written(spark, whole.where("open").select("row", "at").distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "open")
+    found, _ = with_lists(texts.select("row", "text"), open_phrases)
     found = found.where("at is not null").select("row", "text", "at")
     segments = written(spark, found.mapInArrow(_segments(span), "row long, at long, bytes binary"), "segments")
-    blocks = _recurring(spark, segments.mapInArrow(_blocks(span), ROWS), "blocks")
+    blocks = recurring(spark, segments.mapInArrow(_blocks(span), ROWS), "blocks")
     done.append(blocks.where("done").select("row", "at"))
     open_blocks = blocks.where("open").select("row", F.col("at").alias("block"))
     # a block belongs to the phrase of its document that holds its first start
     inside = F.expr("filter(blocks, x -> shiftright(x, 9) between shiftright(at, 9) and shiftright(at, 9) + (at & 511))")
     asked = segments.join(open_blocks.groupBy("row").agg(F.collect_set("block").alias("blocks")), "row").withColumn("asked", inside).where("size(asked) > 0")
-    singles = _recurring(spark, asked.select("row", "at", "bytes", "asked").mapInArrow(_singles(span), ROWS), "strings")
+    singles = recurring(spark, asked.select("row", "at", "bytes", "asked").mapInArrow(_singles(span), ROWS), "strings")
     done.append(singles.where("done").select("row", "at"))
     return done[0].unionByName(done[1]).unionByName(done[2])
 
@@ -254,7 +254,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def remove_repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     ranges = written(spark, cover(spark, docs, span).distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "ranges")
-    having, others = _with_lists(keyed(docs), ranges)
+    having, others = with_lists(keyed(docs), ranges)
     none = F.array().cast("array<long>")
     out = having.select("doc_id", "text", F.coalesce("at", none).alias("at"))
     if others is not None:
