@@ -12,13 +12,14 @@ from .packing import op8_best_fit_packing
 from .paragraphs import op7_substring_dedup
 from .pii import op1_pii
 from .quality import op4_quality_rules
+from .secrets import op2_secret_scans
 from .substrings import op3_suffix_array_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_pii, op3_suffix_array_dedup, op4_quality_rules, op6_ngram_jaccard_join, op7_substring_dedup, op8_best_fit_packing, op10_benchmark_decontamination]
+    found = [op1_pii, op2_secret_scans, op3_suffix_array_dedup, op4_quality_rules, op6_ngram_jaccard_join, op7_substring_dedup, op8_best_fit_packing, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
