@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_benchmark_decontamination
 from .jaccard import op6_ngram_jaccard_join
+from .language import op5_language_id
 from .packing import op8_best_fit_packing
 from .paragraphs import op7_substring_dedup
 from .pii import op1_pii
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_pii, op2_secret_scans, op3_suffix_array_dedup, op4_quality_rules, op6_ngram_jaccard_join, op7_substring_dedup, op8_best_fit_packing, op10_benchmark_decontamination]
+    found = [op1_pii, op2_secret_scans, op3_suffix_array_dedup, op4_quality_rules, op5_language_id, op6_ngram_jaccard_join, op7_substring_dedup, op8_best_fit_packing, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
