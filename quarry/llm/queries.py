@@ -10,6 +10,7 @@ from .decontaminate import op10_benchmark_decontamination
 from .jaccard import op6_ngram_jaccard_join
 from .language import op5_language_id
 from .packing import op8_best_fit_packing
+from .pages import op9_html_extraction
 from .paragraphs import op7_substring_dedup
 from .pii import op1_pii
 from .quality import op4_quality_rules
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_pii, op2_secret_scans, op3_suffix_array_dedup, op4_quality_rules, op5_language_id, op6_ngram_jaccard_join, op7_substring_dedup, op8_best_fit_packing, op10_benchmark_decontamination]
+    found = [op1_pii, op2_secret_scans, op3_suffix_array_dedup, op4_quality_rules, op5_language_id, op6_ngram_jaccard_join, op7_substring_dedup, op8_best_fit_packing, op9_html_extraction, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
