@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .jaccard import similar
+from .ordering import ROWS, recurring, rows_of, with_lists
 from .store import written
-from .substrings import ROWS, recurring, rows_of, with_lists
 
 WORDS, PERCENT = 5, 80
 LEAST, LONG, NEAR = 8, 32, 8
