@@ -135,7 +135,7 @@ def test_explain(built):
     weights, terms = parse("star star war")
     r = search.explain(built[1], weights, terms, "d2").first()
     assert r["total_score"] == pytest.approx(sum(r["field_contributions"].values()))
-    assert r["token_contributions"]["star"]["field"] == "summaries" and r["length"] == 10
+    assert r["token_contributions"]["star"]["field"] == "summaries" and r["length"] == 9
 
 
 def test_idf_may_be_negative(spark):
