@@ -36,13 +36,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each secret masked; n_chars follows the text."""
-    scanned = secrets.found(spark, docs)
-    masked = secrets.masked(F.col("text"), F.col("secrets"))
-    out = scanned.withColumn("text", masked)
+    whole = docs.select(F.struct("*").alias("doc"), "text", *[c for c in ("source",) if c in docs.columns])  # names of docs can't clash then
+    scanned = secrets.found(spark, whole)
+    changed = {"text": secrets.masked(F.col("text"), F.col("secrets"))}
     if "n_chars" in docs.columns:
-        changed = F.size("secrets") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.size("secrets") > 0, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"])
+    return scanned.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
