@@ -103,3 +103,16 @@ def read_index_json(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", INDEX_JSON).alias("x"))
     terms = doc.select(F.explode("x.index").alias("term", "entry"))
     return terms.select("term", F.explode("entry.postings").alias("p")).select("term", "p.*")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines, by as many tasks as there are; nulls are written, so that a record keeps all its keys."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+    """What write_json wrote; no rows where there is nothing yet, so that a crawl can start anew."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
