@@ -7,15 +7,17 @@ n - least overlap + 1 entries, so the product is formed over these blocks of
 columns only. In each block all rows are first multiplied with the block's
 leader. Rows that are linked belong to one component; only pairs across
 components are formed after that, as long as sizes and positions leave room for
-the least overlap. What remains has its full overlap counted, exactly.
+the least overlap and parities of the sets don't rule it out. What remains has
+its full overlap counted, exactly.
 
 Counts of holders only decide the order, and any common order gives the same
-links: they are taken over rows that share an early entry at all, and the
-commonest ORDERED entries, a bounded number, are sent to the tasks.
+links: the commonest ORDERED entries, a bounded number, are sent to the tasks.
 
 Defined cases: a text of fewer than n words has its whole sequence as the only
 entry; one without words has none and is its own component. Null is empty.
-Repeated rows are one class. Other columns of the input are ignored.
+Repeated rows are one class. A row without doc_id is answered as its class is,
+but links no others. An empty table gives an empty result. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +31,20 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
+from .ordering import OPEN, ROWS, recurring, rows_of, with_lists
 from .store import written
 
 #: Entries that more rows than this hold are put last; the number of such entries that are sent to tasks.
 COMMON, ORDERED = 8, 1 << 18
+#: Low bits of a packed size and place.
+PLACE_BITS = 28
 #: Entries are counted in this part of the hash range, which is enough for all first parts of it.
-COUNTED = 0.3
+COUNTED = 0.2
 
-SCAN = "doc_id long, n long, low long, high long, early array<long>"
+#: Words of 64 bits of a set's parities; two sets differ in as many entries at least as their parities do in bits.
+PARITIES = 8
+BITS = [f"p{i}" for i in range(PARITIES)]
+SCAN = "doc_id long, n long, low long, high long, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def entries(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +85,40 @@ def _pick(values: np.ndarray, at: np.ndarray, take: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(K.signed(values[index])))
 
 
-def _scanner(words: int, percent: int):
+def _signatures(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(v * K.powers(len(v) + 1)[0][: len(v)])])
+    other = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(v ^ np.uint64(0x5DEECE66D)))])
+    return K.signed(K.span_hash(total, at[:-1], at[1:])), K.signed(np.diff(other[at]))
+
+
+def _parities(v: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each cell of the hash range, whether a set has an odd number of entries in it, as bits."""
+    cell = (v >> np.uint64(40)) % np.uint64(64 * PARITIES)
+    out = np.zeros((len(at) - 1, PARITIES), np.uint64)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    np.bitwise_xor.at(out, (doc, (cell >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (cell & np.uint64(63)))
+    return [np.ascontiguousarray(out[:, i]).view(np.int64) for i in range(PARITIES)]
+
+
+def _scanner(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "text"):
             v, at = entries(batch.column(1), words)
-            n = np.diff(at)
-            low = K.span_hash(np.concatenate([[np.uint64(0)], np.cumsum(v * K.powers(len(v) + 1)[0][: len(v)])]), at[:-1], at[1:])
-            high = np.diff(np.concatenate([[np.uint64(0)], np.cumsum(K.mix(v ^ np.uint64(0x5DEECE66D)))])[at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(K.signed(low)), pa.array(K.signed(high)), _pick(v, at, first_part(n, percent))], names=["doc_id", "n", "low", "high", "early"])
+            low, high = _signatures(v, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(low), pa.array(high), *map(pa.array, _parities(v, at))], names=["doc_id", "n", "low", "high", *BITS])
+
+    return run
+
+
+def _counter(words: int):
+    """Entries in the counted part of the hash range, summed over each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, "text"):
+            v, _ = entries(batch.column(1), words)
+            entry, count = np.unique(v[v < np.uint64(int(COUNTED * 2**64))], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(entry)), pa.array(count, pa.int64())], names=["entry", "c"])
 
     return run
 
@@ -93,32 +127,33 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "text"):
             v, at = entries(batch.column(1), words)
-            n = np.diff(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _pick(v, at, n)], names=["row", "n", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), _pick(v, at, np.diff(at))], names=["row", "entries"])
 
     return run
 
 
-def _ordered(common: np.ndarray, holders: np.ndarray, percent: int):
-    """common: hashes, ascending, with their number of holders."""
+def _early(words: int, percent: int, common: np.ndarray, holders: np.ndarray):
+    """Rows (entry, set's hash, doc_id, size and place) of each set's first part, rarest entries first. common: hashes, ascending, with their number of holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, sizes, out, place = [], [], [], []
-            for row, n, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                v = got.values.to_numpy(zero_copy_only=False)
-                count = np.zeros(len(v), np.int64)
-                if len(common):
-                    i = np.minimum(np.searchsorted(common, v), len(common) - 1)
-                    count = np.where(common[i] == v, holders[i], 0)
-                take = int(first_part(np.array([n]), percent)[0])
-                v = v[np.lexsort((v.view(np.uint64), count))[:take]]
-                out.append(v)
-                rows.append(np.full(len(v), row))
-                sizes.append(np.full(len(v), n))
-                place.append(np.arange(len(v)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out, rows, sizes, place)], names=["entry", "row", "n", "place"])
+        for batch in K.slices(batches, "text"):
+            v, at = entries(batch.column(1), words)
+            n = np.diff(at)
+            doc = np.repeat(np.arange(len(n)), n)
+            count = np.zeros(len(v), np.int64)
+            if len(common):
+                i = np.minimum(np.searchsorted(common, v), len(common) - 1)
+                count = np.where(common[i] == v, holders[i], 0)
+            if count.any():
+                v_order = np.lexsort((v, count, doc))
+                sorted_v = v[v_order]
+            else:
+                sorted_v = v
+            place = np.arange(len(v)) - at[:-1][doc]
+            keep = place < first_part(n, percent)[doc]
+            low, _ = _signatures(v, at)
+            doc, place = doc[keep], place[keep]
+            yield rows_of(sorted_v[keep], low[doc], batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)[doc], n[doc] << PLACE_BITS | place)
 
     return run
 
@@ -128,12 +163,42 @@ def _least(percent: int, a: str, b: str) -> str:
     return f"ceil({percent}D * ({a} + {b}) / {100 + percent}D - 1e-9D)"
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _may_be_near(percent: int, a: str, b: str, n: str, m: str) -> str:
+    """Whether parities leave room for enough similarity of sets of n and m entries; a and b: prefixes of their parities."""
+    differ = " + ".join(f"bit_count({a}{p} ^ {b}{p})" for p in BITS)
+    return f"({differ}) * {100 + percent} <= ({n} + {m}) * {100 - percent}"
+
+
+def _linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their full overlap."""
+    pairs = written(spark, pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    heads = written(spark, nodes.join(classes, "row").select(F.col("class_id").alias("doc_id"), F.col("row").alias("set")), "heads")
+    having, _ = with_lists(texts.select(F.col("doc_id").alias("row"), "text"), heads.select(F.col("doc_id").alias("row"), F.col("set").alias("at")))
+    sets = having.where("at is not null").select("row", "text", "at").mapInArrow(_sets(words), "row long, entries array<long>")
+    sets = written(spark, sets, "sets")
     left = sets.select(F.col("row").alias("a"), F.col("entries").alias("ea"))
     right = sets.select(F.col("row").alias("b"), F.col("entries").alias("eb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("o"), (F.size("ea") + F.size("eb")).alias("s"))
-    return both.where(f"100 * o >= {percent} * (s - o)").select("a", "b")
+    return written(spark, both.where(f"100 * o >= {percent} * (s - o)").select("a", "b").distinct(), "links")
+
+
+def _common(spark: SparkSession, texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest entries, ORDERED at most, ascending, and their counts."""
+    counted = texts.mapInArrow(_counter(words), "entry long, c long").groupBy("entry").agg(F.sum("c").alias("c")).where(f"c > {COMMON}")
+    counted = written(spark, counted, "common")
+    steps = counted.select(F.floor(F.log2("c") * 4).alias("step"), "entry").groupBy("step").count().orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for step, n in steps:  # a few hundred at most
+        if total + n > ORDERED:
+            break
+        total, least = total + n, step
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = counted.where(F.floor(F.log2("c") * 4) >= least).toPandas()
+    entry = rows["entry"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(entry)
+    return entry[order], rows["c"].to_numpy(np.int64)[order]
 
 
 def similar(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -142,27 +207,22 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     Two documents are linked when 100 * common n-grams >= percent * all n-grams of both.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = written(spark, texts.mapInArrow(_scanner(words, percent), SCAN), "scan")
-    classes = scan.groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id"))
-    heads = classes.where("n > 0").select(F.col("class_id").alias("doc_id"), "n", "low", "high")
-    early = scan.join(heads, ["doc_id", "n", "low", "high"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("row"), F.explode("early").alias("entry"))
-    early = written(spark, early, "early")
-    shared = early.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select("entry")
-    alive = early.join(shared, "entry").select(F.col("row").alias("doc_id")).distinct()
-    sets = written(spark, texts.join(alive, "doc_id").mapInArrow(_sets(words), "row long, n long, entries array<long>").dropDuplicates(["row"]), "sets")
-
-    limit = int(COUNTED * 2**64)
-    part = sets.select(F.explode(F.expr(f"filter(entries, x -> x >= 0 and x < {min(limit, 2**63 - 1)}L)")).alias("entry"))
-    common = part.groupBy("entry").agg(F.count("*").alias("c")).where(f"c > {COMMON}").orderBy(F.desc("c"), "entry").limit(ORDERED).toPandas()
-    common = common.sort_values("entry")
-    blocks = written(spark, sets.mapInArrow(_ordered(common["entry"].to_numpy(np.int64), common["c"].to_numpy(np.int64), percent), "entry long, row long, n long, place long"), "blocks")
-
-    leaders = blocks.groupBy("entry").agg(F.min(F.struct("place", "n", "row")).alias("x"), F.count("*").alias("c")).where("c > 1")
-    leaders = leaders.select("entry", F.col("x.row").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.place").alias("lead_place"))
+    scan = written(spark, texts.mapInArrow(_scanner(words), SCAN), "scan")
+    # a set is known by its first hash from here on; the second one tells if two sets ever share it
+    classes = written(spark, scan.where("n > 0").groupBy(F.col("low").alias("row"), "n", "high").agg(F.min("doc_id").alias("class_id"), *(F.first(b).alias(b) for b in BITS)), "classes")
+    common, holders = _common(spark, texts, words)
+    early = texts.mapInArrow(_early(words, percent, common, holders), ROWS)
+    shared = recurring(spark, early, "early", OPEN)
+    blocks = written(spark, shared.select(F.col("a").alias("entry"), F.col("b").alias("row"), F.shiftright("at", PLACE_BITS).alias("n"), F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).alias("place")).distinct(), "blocks")
+
+    leaders = blocks.groupBy("entry").agg(F.min(F.struct("place", "n", "row")).alias("x")).select("entry", F.col("x.row").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.place").alias("lead_place"))
     led = blocks.join(leaders, "entry").where("row <> lead")
     room = f"least(n - place, lead_n - lead_place) >= {_least(percent, 'n', 'lead_n')} and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
     pairs = led.where(room).select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b")).distinct()
-    links = written(spark, _linked(pairs, sets, percent), "links")
+    known = classes.select("row", "n", *BITS)
+    of = lambda end, q: known.select(F.col("row").alias(end), F.col("n").alias(f"{q}n"), *(F.col(p).alias(f"{q}{p}") for p in BITS))
+    pairs = pairs.join(of("a", "a_"), "a").join(of("b", "b_"), "b").where(_may_be_near(percent, "a_", "b_", "a_n", "b_n")).select("a", "b")
+    links = _linked(spark, pairs, texts, classes, words, percent)
     label = components(spark, links)
 
     # across components: rows outside their leader's component, with all rows of the block but the leader
@@ -170,20 +230,22 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     lead_own = label.select(F.col("node").alias("lead"), F.col("component").alias("lead_of"))
     placed = led.join(own, "row", "left").join(lead_own, "lead", "left").withColumn("of", F.coalesce("of", "row")).withColumn("lead_of", F.coalesce("lead_of", "lead"))
     placed = written(spark, placed.select("entry", "row", "n", "place", "of", "lead_of"), "placed")
-    x = placed.where("of <> lead_of").select("entry", *(F.col(c).alias(f"x_{c}") for c in ("row", "n", "place", "of")))
+    unsettled = placed.groupBy("entry").agg(F.count("*").alias("c"), F.max((F.col("of") != F.col("lead_of")).cast("int")).alias("open")).where("c > 1 and open = 1").select("entry")
+    placed = written(spark, placed.join(unsettled, "entry", "left_semi").join(known.drop("n"), "row"), "placed")
+    x = placed.where("of <> lead_of").select("entry", *(F.col(c).alias(f"x_{c}") for c in ("row", "n", "place", "of", *BITS)))
     cross = x.join(placed, "entry").where("of <> x_of and (of = lead_of or row < x_row)")
     cross = cross.where(f"100 * least(n, x_n) >= {percent} * greatest(n, x_n) and least(n - place, x_n - x_place) >= {_least(percent, 'n', 'x_n')}")
-    cross = cross.select(F.least("row", "x_row").alias("a"), F.greatest("row", "x_row").alias("b")).distinct()
-    more = written(spark, _linked(cross, sets, percent), "links")
-    if not more.isEmpty():
-        label = components(spark, links.unionByName(more))
-
-    named = classes.join(label, classes["class_id"] == label["node"], "left").select("n", "low", "high", "class_id", F.coalesce("component", "class_id").alias("component"))
-    empty = F.col("n") == 0
-    return scan.select("doc_id", "n", "low", "high").join(named, ["n", "low", "high"]).select(
+    cross = cross.where(_may_be_near(percent, "", "x_", "n", "x_n"))
+    cross = written(spark, cross.select(F.least("row", "x_row").alias("a"), F.greatest("row", "x_row").alias("b")).distinct(), "cross")
+    if not cross.isEmpty():
+        label = components(spark, links.unionByName(_linked(spark, cross, texts, classes, words, percent)))
+
+    named = classes.join(label, classes["row"] == label["node"], "left").select("row", "n", "high", "class_id", F.coalesce("component", "row").alias("component"))
+    first = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(first, "component").select(F.col("row").alias("low"), "n", "high", "class_id", "component_id")
+    return scan.join(named, ["n", "low", "high"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
