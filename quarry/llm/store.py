@@ -5,10 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that are there, oldest first.
+_paths: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -20,13 +26,28 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again. The files go when the application ends."""
+    """df, written as Parquet in the shared folder and read again. The files go with their scope, or when the application ends."""
     path = f"{folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
+    """At its end, of the tables written inside only the last one stays; the one at `keep` from before goes, too."""
+    before = len(_paths)
+    yield
+    for path in [*_paths[before:-1], *([keep] if keep else [])]:
+        _drop(spark, path)
+        _paths.remove(path)
+
+
+def latest() -> str | None:
+    return _paths[-1] if _paths else None
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
