@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, packing, quality, secrets
-from quarry.llm.store import written
+from quarry.llm.store import latest, scope, written
 
 
 
@@ -63,6 +63,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+        with scope(spark, last):  # what a stage wrote on its way goes, and so does its input
+            docs = written(spark, stage(spark, docs, sf_dir), name)
+        last = latest()
     return docs
