@@ -41,7 +41,8 @@ def has_placeholder(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Lower-cased text of words, digits and basic punctuation; the order of the steps matters."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL, "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    t = F.when(low.contains("http") | low.contains("www."), F.regexp_replace(low, URL, "")).otherwise(low)  # few texts need the pattern
     for gone in PLACEHOLDERS:
         t = F.replace(t, F.lit(gone), F.lit(""))
     for name, parts in COMPOUNDS.items():

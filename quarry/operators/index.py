@@ -7,34 +7,39 @@ that scoring needs no join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIELDS, clean, flattened, has_placeholder, tokens
 
 
+def _analysed(x: Column) -> Column:
+    found = F.when(~has_placeholder(x["text"]), tokens(clean(x["text"])))
+    return F.struct(x["field"].alias("field"), x["field_seq"].alias("field_seq"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens"))
+
+
 def field_tokens(records: DataFrame, unique_ids: bool = False) -> DataFrame:
-    """(doc_id, doc_seq, doc_len, fields array<struct<field, field_seq, tokens>>); documents without a token are left out.
+    """(doc_id, doc_seq, doc_len, fields array<struct<field, field_seq, tokens>>); a document without a token has length 0.
 
     Of records with one id the last that has tokens counts, at the place of the
-    first that has. unique_ids spares the exchange that this takes.
+    first that has. unique_ids spares the exchange that this takes. Documents
+    of length 0 stay in: a filter here would have Catalyst analyse each text twice.
     """
-    per_field = []
+    texts, kinds = [], dict(records.dtypes)
     for i, name in enumerate(FIELDS):
-        column = F.col(name)
-        kind = dict(records.dtypes)[name]
-        text = flattened(column, " " if name == "summaries" else ", ") if kind.startswith("array") else column
-        found = F.when(~has_placeholder(text), tokens(clean(text)))
-        per_field.append(F.struct(F.lit(name).alias("field"), F.lit(i).alias("field_seq"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens")))
-    rows = records.where("id is not null and id <> ''").select(F.col("id").cast("string").alias("doc_id"), F.col("seq").alias("doc_seq"), F.array(*per_field).alias("fields"))
-    rows = rows.withColumn("fields", F.filter("fields", lambda x: F.size(x["tokens"]) > 0)).where(F.size("fields") > 0)
+        text = flattened(F.col(name), " " if name == "summaries" else ", ") if kinds[name].startswith("array") else F.col(name)
+        texts.append(F.struct(F.lit(name).alias("field"), F.lit(i).alias("field_seq"), F.coalesce(text, F.lit("")).alias("text")))
+    fields = F.filter(F.transform(F.array(*texts), _analysed), lambda x: F.size(x["tokens"]) > 0)
+    rows = records.where("id is not null and id <> ''").select(F.col("id").cast("string").alias("doc_id"), F.col("seq").alias("doc_seq"), fields.alias("fields"))
     if not unique_ids:
-        rows = rows.groupBy("doc_id").agg(F.max_by("fields", "doc_seq").alias("fields"), F.min("doc_seq").alias("doc_seq"))
+        place = F.when(F.size("fields") > 0, F.col("doc_seq"))
+        rows = rows.groupBy("doc_id").agg(F.coalesce(F.max_by("fields", place), F.first("fields")).alias("fields"), F.min(place).alias("doc_seq"))
     return rows.select("doc_id", "doc_seq", F.aggregate("fields", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x["tokens"])).alias("doc_len"), "fields")
 
 
 def tokens_long(analysed: DataFrame) -> DataFrame:
-    one = analysed.select("doc_id", "doc_seq", "doc_len", F.explode("fields").alias("f"))
+    # the outer form, as the inner one makes Catalyst put a filter on the analysis below
+    one = analysed.select("doc_id", "doc_seq", "doc_len", F.explode_outer("fields").alias("f"))
     return one.select("doc_id", "doc_seq", "doc_len", "f.field", "f.field_seq", F.posexplode("f.tokens").alias("pos", "term"))
 
 
@@ -54,7 +59,8 @@ def doc_stats(posted: DataFrame) -> DataFrame:
 
 def scalars(analysed: DataFrame) -> DataFrame:
     """One row: n, the documents, and avg_dl, 1.0 if there are none."""
-    return analysed.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(1.0)).alias("avg_dl"))
+    own = F.when(F.col("doc_len") > 0, F.col("doc_len"))
+    return analysed.agg(F.count(own).alias("n"), F.coalesce(F.avg(own), F.lit(1.0)).alias("avg_dl"))
 
 
 def field_distribution(long: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def coverage(long: DataFrame, records: DataFrame) -> DataFrame:
 
 def integrity(analysed: DataFrame, posted: DataFrame, term_df: DataFrame) -> DataFrame:
     """One row of the index checks: documents not indexed, terms whose df or tf disagree with their postings."""
-    missing = analysed.select("doc_id").join(posted.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("missing_docs"))
+    missing = analysed.where("doc_len > 0").select("doc_id").join(posted.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("missing_docs"))
     counted = posted.groupBy("term").agg(F.count("*").alias("n"), F.sum((F.col("tf") != F.size("positions")).cast("bigint")).alias("bad_tf"))
     wrong = counted.join(term_df, "term", "full").agg(F.sum((~F.coalesce(F.col("n") == F.col("df"), F.lit(False))).cast("bigint")).alias("df_errors"), F.sum("bad_tf").alias("tf_errors"))
     return missing.crossJoin(wrong)
@@ -125,7 +131,7 @@ def report(records: DataFrame, analysed: DataFrame) -> DataFrame:
     """One row of the preprocessing report's figures; 0 where there is nothing to divide by."""
     long = tokens_long(analysed)
     counts = long.groupBy("term").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_tokens"))
-    both = records.agg(F.count("*").alias("raw")).crossJoin(analysed.agg(F.count("*").alias("processed"))).crossJoin(counts)
+    both = records.agg(F.count("*").alias("raw")).crossJoin(scalars(analysed).select(F.col("n").alias("processed"))).crossJoin(counts)
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return both.select("raw", "processed", rate(F.col("processed") * 100.0, F.col("raw")).alias("success_percent"), "total_tokens", "unique_tokens", rate(F.col("total_tokens") * 1.0, F.col("processed")).alias("tokens_per_doc"))
 

@@ -74,7 +74,7 @@ def test_index(built):
     assert rows["star", "d2", "summaries"] == (3, [1, 2, 4])
     assert rows["war", "d1", "title"] == (1, [1])  # the last record with d1's id counts
     assert ("drama", "d1", "genres") not in rows and not any(k[2] == "summaries" and k[1] == "d3" for k in rows)
-    assert {r["doc_id"]: r["doc_seq"] for r in analysed.collect()} == {"d1": 0, "d2": 1, "d3": 2}
+    assert {r["doc_id"]: r["doc_seq"] for r in analysed.where("doc_len > 0").collect()} == {"d1": 0, "d2": 1, "d3": 2}
     df = {r["term"]: r["df"] for r in tables["terms"].collect()}
     assert df["star"] == 3
     assert index.integrity(analysed, tables["postings"], tables["terms"]).first()[:] == (0, 0, 0)
