@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations only.
 
 Candidates are runs of letters, digits and `+/_-` with a digit, of LEAST
-characters or more, and private-key headers. Each has twelve numbers: length,
+characters or more, and private-key headers. Each has thirteen numbers: length,
 character transitions, distinct characters, dictionary coverage, its path and
 the words around it. The forest is trained on the driver from labelled findings
 (their number is bounded by FINDINGS; the defaults are generated from the rules
