@@ -1,14 +1,7 @@
-import hashlib
 import random
 
 import pytest
-
-R = random.Random(5)
-LETTERS = "aeiounrst"
-
-
-def prose(n, r=R):
-    return " ".join("".join(r.choices(LETTERS, k=r.randint(2, 9))) + r.choice(["", "", "", ",", "."]) for _ in range(n))
+from small_texts import prose
 
 
 @pytest.fixture(scope="session")
@@ -43,7 +36,3 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.limit(0)
-
-
-def sha(x):
-    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()

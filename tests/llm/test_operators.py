@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import sha
+from small_texts import sha
 from pyspark.sql import functions as F
 
 from quarry.llm import components, decontaminate, jaccard, language, ordering, packing, pages, paragraphs, pii, quality, secrets, substrings
@@ -143,7 +143,7 @@ def test_quality(spark, docs, texts, empty):
 
 
 def test_boilerplate_goes_and_copies_stay(spark):
-    from conftest import prose
+    from small_texts import prose
 
     footer = "\n".join(prose(30) for _ in range(3))
     article = "\n".join(prose(20) for _ in range(5))
@@ -162,7 +162,7 @@ def test_boilerplate_goes_and_copies_stay(spark):
 
 
 def test_language(spark, empty):
-    from conftest import R
+    from small_texts import R
 
     kinds = {"xx": "aeiouth", "yy": "zkwpmou", "zz": "çéqvdst"}
     rows = [(i, " ".join("".join(R.choices(c, k=R.randint(2, 8))) for _ in range(R.randint(5, 60))), k) for i, (k, c) in ((i, list(kinds.items())[i % 3]) for i in range(300))]

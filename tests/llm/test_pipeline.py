@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import prose
+from small_texts import prose
 from pyspark.sql import functions as F
 
 import __spark_entry__
