@@ -10,8 +10,8 @@ exact Jaccard similarity and clustered by components. The first paragraph of a
 cluster, by doc_id and place, stays; the others are removed.
 
 Defined cases: a null or empty text has no paragraphs. Rows with the same
-doc_id are one document, so a repeated row removes nothing. An empty table
-gives an empty result.
+doc_id are one document, so a repeated row removes nothing; one without doc_id
+keeps all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,9 +55,14 @@ def cut(data: np.ndarray, offsets: np.ndarray):
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, n))
     if (size > LONG).any():
-        wide = np.pad(K.mix(word), NEAR, constant_values=np.iinfo(np.uint64).max)
-        least = np.lib.stride_tricks.sliding_window_view(wide, 2 * NEAR + 1).min(axis=1)
-        new |= np.repeat(size > LONG, size) & (wide[NEAR:-NEAR] == least)
+        # neighbours of the same paragraph only: what stands around it must not count
+        unit = np.cumsum(new)
+        place = np.arange(n) + NEAR * unit
+        wide = np.full(n + NEAR * (unit[-1] + 2), np.iinfo(np.uint64).max, np.uint64)
+        value = K.mix(word)
+        wide[place] = value
+        least = np.lib.stride_tricks.sliding_window_view(wide, 2 * NEAR + 1).min(axis=1)[place - NEAR]
+        new |= np.repeat(size > LONG, size) & (value == least)
         at = np.flatnonzero(new)
     return word, starts, ends, np.append(at, n)
 
@@ -102,7 +107,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clusters(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(row, at, cluster): paragraphs that are in a cluster with others; row is the doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("row"), "text").where("row is not null")
     found = recurring(spark, texts.mapInArrow(_bands, ROWS), "bands")
     found = found.groupBy("row", "at").agg(F.first("b").alias("class"), F.max("open").alias("open"))
     found = written(spark, found, "colliding")
