@@ -1,13 +1,21 @@
 """Removal of repeated paragraphs by MinHash banding.
 
-A paragraph is a line's sentence; one of over LONG words is cut at words whose
-hash is the least among their neighbours, so that equal passages are cut alike
-wherever they stand. Paragraphs of LEAST words or more have one MinHash value a
-band: of a pair with similarity 0.8, all of b bands miss 0.2 ** b. Bands are
-put in order by one sort, which shows the colliding paragraphs. Equal ones are
-one class; of classes that collide the texts are joined, verified by their
-exact Jaccard similarity and clustered by components. The first paragraph of a
-cluster, by doc_id and place, stays; the others are removed.
+A paragraph is a line; all lines are compared, whole. So that a passage inside
+longer lines is found too, the pieces of a line are compared as well: its
+sentences, where short ones are joined, and those of over LONG words are cut at
+words whose hash is the least among their neighbours, so that equal passages
+are cut alike wherever they stand. A piece of less than LEAST words belongs to
+the one beside it, so every word of a line is in one of its pieces.
+
+Lines and pieces have one MinHash value a band: of a pair with similarity 0.8,
+all of b bands miss 0.2 ** b; the shortest can only be similar when their sets
+are equal, which one band always shows. Bands are put in order by one sort, which
+shows the colliding ones. Equal ones are one class; of classes that collide the
+texts are joined, verified by their exact Jaccard similarity and clustered by
+components. Lines are compared with lines and pieces with pieces (a line always
+collides with one of its own); a line of one piece is both. The first line of a cluster, by doc_id and place, stays; the others
+are removed. Then the same is done with the pieces of the lines that stay, so
+that what is removed always has a copy that stays.
 
 Defined cases: a null or empty text has no paragraphs. Rows with the same
 doc_id are one document, so a repeated row removes nothing; one without doc_id
@@ -33,76 +41,144 @@ WORDS, PERCENT = 5, 80
 LEAST, LONG, NEAR = 8, 32, 8
 #: Bands of paragraphs below and from MANY shingles on (recall 0.96 and 0.998 at similarity 0.8).
 BANDS, MANY = (2, 4), 16
+#: Fewer shingles are similar at 0.8 only when equal: one band shows that always.
+EXACT = 4
+#: A unit's place: its line's number, its number among the line's pieces (0: the whole line), and a bit that is 0 for a line and 1 for a piece.
+LINE_BITS = 32
+IS_LINE, IS_PIECE = "at & 1 = 0", "at & 1 = 1"
+_LINES = np.uint64(0x6C8E9CF570932BD5)
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _SEEDS = K.mix(np.arange(1, 9, dtype=np.uint64))
 
 
-def cut(data: np.ndarray, offsets: np.ndarray):
-    """Word hashes, starts and ends, and the first word of each paragraph (one more at the end), over all documents."""
-    lower = K.LOWER[data]
+def _breaks(lower: np.ndarray, offsets: np.ndarray):
+    """Word hashes, starts and ends, and whether each word is the first of a line, and of a sentence."""
     starts, ends, first = K.words(lower, offsets)
     n = len(starts)
     word = K.span_hash(K.running(lower), starts, ends)
+    line = np.zeros(n, bool)
     if not n:
-        return word, starts, ends, np.zeros(1, np.int64)
-    new = np.zeros(n, bool)
-    new[0] = True
-    new[first[:-1][first[:-1] < n]] = True
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    new[1:] |= _ENDS[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+        return word, starts, ends, line, line
+    line[0] = True
+    line[first[:-1][first[:-1] < n]] = True
+    lines = np.concatenate([[0], np.cumsum(lower == 10)])
+    line[1:] |= lines[starts[1:]] > lines[ends[:-1]]
+    new = line.copy()
+    new[1:] |= _ENDS[lower[ends[:-1] - 1]]
+    return word, starts, ends, line, new
+
+
+def _chopped(word: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """new, with the cuts of what is longer than LONG words."""
+    n = len(word)
+    size = np.diff(np.append(np.flatnonzero(new), n))
+    if not (size > LONG).any():
+        return new
+    # neighbours of the same paragraph only: what stands around it must not count
+    unit = np.cumsum(new)
+    place = np.arange(n) + NEAR * unit
+    wide = np.full(n + NEAR * (unit[-1] + 2), np.iinfo(np.uint64).max, np.uint64)
+    value = K.mix(word)
+    wide[place] = value
+    least = np.lib.stride_tricks.sliding_window_view(wide, 2 * NEAR + 1).min(axis=1)[place - NEAR]
+    return new | np.repeat(size > LONG, size) & (value == least)
+
+
+def cut(data: np.ndarray, offsets: np.ndarray):
+    """Word hashes, starts and ends, and the first word of each sentence or part of a long one (one more at the end), over all documents."""
+    word, starts, ends, _, new = _breaks(K.LOWER[data], offsets)
+    return word, starts, ends, np.append(np.flatnonzero(_chopped(word, new)), len(word))
+
+
+def _pieces(word: np.ndarray, line: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The first word of each line's pieces. line, new: the first words of lines, and of sentences."""
+    n = len(word)
+    at = np.flatnonzero(new)
+    short = np.diff(np.append(at, n)) < LEAST
+    joined = np.zeros(len(at), bool)
+    joined[1:] = short[1:] & short[:-1] & ~line[at[1:]]
+    new = new.copy()
+    new[at[joined]] = False  # short sentences in a row are one
+    new = _chopped(word, new)
     at = np.flatnonzero(new)
-    size = np.diff(np.append(at, n))
-    if (size > LONG).any():
-        # neighbours of the same paragraph only: what stands around it must not count
-        unit = np.cumsum(new)
-        place = np.arange(n) + NEAR * unit
-        wide = np.full(n + NEAR * (unit[-1] + 2), np.iinfo(np.uint64).max, np.uint64)
-        value = K.mix(word)
-        wide[place] = value
-        least = np.lib.stride_tricks.sliding_window_view(wide, 2 * NEAR + 1).min(axis=1)[place - NEAR]
-        new |= np.repeat(size > LONG, size) & (value == least)
-        at = np.flatnonzero(new)
-    return word, starts, ends, np.append(at, n)
+    short = np.diff(np.append(at, n)) < LEAST
+    opens = line[at]
+    back = short & ~opens  # to the piece before
+    back[1:] |= short[:-1] & opens[:-1] & ~opens[1:]  # a line's short head: to the piece after
+    return at[~back]
+
+
+def units(data: np.ndarray, offsets: np.ndarray):
+    """Word hashes, starts and ends; and each unit's document, first word, end and place, in order of document and place."""
+    word, starts, ends, line, new = _breaks(K.LOWER[data], offsets)
+    n = len(word)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return word, starts, ends, none, none, none, none
+    heads = np.flatnonzero(line)
+    piece = _pieces(word, line, new)
+    of = np.searchsorted(heads, piece, "right") - 1  # the piece's line
+    begin = np.searchsorted(of, np.arange(len(heads)))
+    count = np.diff(np.append(begin, len(piece)))
+    doc = np.searchsorted(offsets, starts[heads], "right") - 1
+    number = np.arange(len(heads)) - np.searchsorted(doc, doc)
+    part = np.where(count[of] > 1, np.arange(len(piece)) - begin[of] + 1, 0)
+    a = np.concatenate([heads, piece])
+    b = np.concatenate([np.append(heads[1:], n), np.append(piece[1:], n)])
+    at = np.concatenate([number << LINE_BITS, number[of] << LINE_BITS | part << 1 | 1])
+    owner = np.concatenate([doc, doc[of]])
+    order = np.lexsort((at, owner))
+    return word, starts, ends, owner[order], a[order], b[order], at[order]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches, "text"):
         data, offsets = K.utf8(batch.column(1))
-        word, starts, _, at = cut(data, offsets)
-        size = np.diff(at)
-        doc = np.searchsorted(offsets, starts[at[:-1]], "right") - 1
-        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        pick = np.flatnonzero(size >= LEAST)
-        if not len(pick):
+        word, _, _, doc, a, b, at = units(data, offsets)
+        if not len(a):
             continue
         total = np.concatenate([[np.uint64(0)], np.cumsum(word * K.powers(len(word) + 1)[0][: len(word)])])
-        own = K.span_hash(total, at[pick], at[pick] + size[pick])
-        row = batch.column(0).to_numpy(zero_copy_only=False)[doc[pick]]
+        salt = np.where(at & 1 == 0, _LINES, np.uint64(0))
+        own = K.span_hash(total, a, b) ^ salt
+        row = batch.column(0).to_numpy(zero_copy_only=False)[doc]
+        n = b - a - WORDS + 1  # shingles; one of all words, if there are fewer than WORDS
         grams = K.ngram_hash(word, WORDS)
-        edges = np.stack([at[pick], at[pick] + size[pick] - WORDS + 1], 1).ravel()
+        few = n < EXACT
         for j in range(BANDS[1]):
-            use = np.flatnonzero(size[pick] - WORDS + 1 >= MANY) if j >= BANDS[0] else np.arange(len(pick))
+            use = np.flatnonzero((n >= 1) & ((j == 0) | ~few & (j < BANDS[0]) | (n >= MANY)))
             if len(use):
                 value = np.append(K.mix(grams ^ _SEEDS[j]), np.iinfo(np.uint64).max)
-                least = np.minimum.reduceat(value, edges.reshape(-1, 2)[use].ravel())[::2]
-                yield rows_of(K.mix(least + np.uint64(j)), own[use], row[use], place[pick][use])
+                least = np.minimum.reduceat(value, np.stack([a[use], a[use] + n[use]], 1).ravel())[::2]
+                yield rows_of(K.mix((least ^ salt[use]) + np.uint64(j)), own[use], row[use], at[use])
+        tiny = np.flatnonzero(n < 1)
+        if len(tiny):
+            yield rows_of(K.mix(own[tiny] + np.uint64(BANDS[1])), own[tiny], row[tiny], at[tiny])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of the listed paragraphs."""
     for batch in K.slices(batches, "text"):
         data, offsets = K.utf8(batch.column(1))
-        _, starts, ends, at = cut(data, offsets)
-        first = np.searchsorted(starts[at[:-1]], offsets[:-1]) if len(starts) else np.zeros(len(offsets) - 1, np.int64)
+        _, starts, ends, doc, a, b, at = units(data, offsets)
+        first = np.searchsorted(doc, np.arange(len(offsets)))
         raw = data.tobytes()
         lists = batch.column(2)
         counts = np.diff(np.asarray(lists.offsets))
         asked = lists.flatten()
-        k = np.repeat(first, counts) + asked.field("place").to_numpy(zero_copy_only=False)
-        texts = [raw[starts[at[i]] : ends[at[i + 1] - 1]] for i in k.tolist()]
-        yield pa.RecordBatch.from_arrays([asked.field("class").cast(pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+        place = asked.field("place").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        found = [_find(at, first, d, x) for d, x in zip(owner.tolist(), place.tolist(), strict=True)]
+        texts = [raw[starts[a[k]] : ends[b[k] - 1]] for k in found if k is not None]
+        classes = asked.field("class").cast(pa.int64()).filter(pa.array([k is not None for k in found], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([classes, pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+
+def _find(at: np.ndarray, first: np.ndarray, doc: int, place: int) -> int | None:
+    """The number of the document's unit at this place; None if another row with its doc_id has it."""
+    k = int(first[doc] + np.searchsorted(at[first[doc] : first[doc + 1]], place))
+    return k if k < first[doc + 1] and at[k] == place else None
 
 
 def clusters(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -120,15 +196,23 @@ def clusters(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.join(near, "class", "left").select("row", "at", F.coalesce("component_id", "class").alias("cluster"))
 
 
+def _headed(member: DataFrame) -> DataFrame:
+    """row, at, head (row and place of the cluster's first) of the members of clusters of several."""
+    heads = member.groupBy("cluster").agg(F.min(F.struct("row", "at")).alias("head"), F.count("*").alias("c")).where("c > 1").select("cluster", "head")
+    return member.join(heads, "cluster").select("row", "at", "head")
+
+
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, members (paragraphs that are in a cluster with others), removed (places, ascending), first_ids (documents whose paragraphs stay instead of or as its own, if in clusters)."""
+    """doc_id, members (lines and pieces that are in a cluster with others), removed (places, ascending), first_ids (documents whose paragraphs stay instead of or as its own, if in clusters)."""
     member = written(spark, clusters(spark, docs), "clusters")
-    heads = member.groupBy("cluster").agg(F.min(F.struct("row", "at")).alias("head"), F.count("*").alias("c")).where("c > 1").select("cluster", "head")
-    placed = member.join(heads, "cluster")
     gone = (F.col("row") != F.col("head.row")) | (F.col("at") != F.col("head.at"))
-    return placed.groupBy(F.col("row").alias("doc_id")).agg(
-        F.count("*").alias("members"),
-        F.array_sort(F.collect_list(F.when(gone, F.col("at")))).alias("removed"),
+    lines = written(spark, _headed(member.where(IS_LINE)).withColumn("gone", gone), "line-heads")
+    line = F.shiftright("at", LINE_BITS).alias("line")
+    without = lines.where("gone").select("row", line).distinct()
+    pieces = _headed(member.where(IS_PIECE).withColumn("line", line).join(without, ["row", "line"], "left_anti")).withColumn("gone", gone)
+    return lines.unionByName(pieces).groupBy(F.col("row").alias("doc_id")).agg(
+        F.size(F.collect_set(F.shiftright("at", 1))).alias("members"),
+        F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("at")))).alias("removed"),
         F.array_sort(F.collect_set("head.row")).alias("first_ids"),
     )
 
@@ -136,18 +220,19 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches, "text"):
         data, offsets = K.utf8(batch.column(1))
-        _, starts, ends, at = cut(data, offsets)
-        heads = starts[at[:-1]] if len(starts) else starts
-        first = np.searchsorted(heads, offsets)
+        _, starts, ends, doc, a, b, at = units(data, offsets)
+        first = np.searchsorted(doc, np.arange(len(offsets)))
+        distinct = np.concatenate([[0], np.cumsum(at & ((1 << LINE_BITS) - 1) != 1)])  # a line of one piece counts once
         raw, out = data.tobytes(), []
         for i, gone in enumerate(batch.column(2).to_pylist()):
             kept, k = [], int(offsets[i])
             for g in gone or ():
-                j = int(first[i]) + g
-                kept.append(raw[k : starts[at[j]]])
-                k = int(ends[at[j + 1] - 1])
+                j = _find(at, first, i, g)
+                if j is not None:
+                    kept.append(raw[k : starts[a[j]]])
+                    k = int(ends[b[j] - 1])
             kept.append(raw[k : offsets[i + 1]])
-            out.append((int(first[i + 1] - first[i]), b"".join(kept)))
+            out.append((int(distinct[first[i + 1]] - distinct[first[i]]), b"".join(kept)))
         n, kept = zip(*out, strict=True)
         columns = [batch.column(0), pa.array(n, pa.int64()), batch.column(3), pc.list_value_length(batch.column(2)).cast(pa.int64()), batch.column(4), pa.array(kept, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_paragraphs", "n_repeated", "n_removed", "first_ids", "kept_text"])
