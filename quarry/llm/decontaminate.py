@@ -8,7 +8,9 @@ the number of its last word, and that the place in the original.
 
 Defined cases: a null or empty text, and one without words, is clean. An item
 without words is never found. Repeated items and windows each count for their
-own item. An empty benchmark leaves all documents clean.
+own item; items without an id count as one, named null. An empty benchmark
+leaves all documents clean. There is one result for each row of the documents,
+also for rows that repeat a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import slices
+from .store import written
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton (about 60 times as much memory).
@@ -35,6 +38,10 @@ _TABLE = bytes(
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, runs array<struct<first:int,last:int,start:int,end:int>>"
 
 
+def _nulls_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
@@ -43,11 +50,11 @@ def windows(words: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def automaton(items: list[tuple[str, str | None]], window: int):
+def automaton(items: list[tuple[str | None, str | None]], window: int):
     """None if no item has words. A key's value: (words in the key, the items that have it)."""
     import ahocorasick
 
-    owners: dict[bytes, set[str]] = defaultdict(set)
+    owners: dict[bytes, set[str | None]] = defaultdict(set)
     for item, text in items:
         for key in windows(normal_words(text), window):
             owners[key].add(item)
@@ -55,7 +62,7 @@ def automaton(items: list[tuple[str, str | None]], window: int):
         return None
     found = ahocorasick.Automaton()
     for key, who in owners.items():
-        found.add_word(f" {key.decode('latin-1')} ", (key.count(b" ") + 1, tuple(sorted(who))))
+        found.add_word(f" {key.decode('latin-1')} ", (key.count(b" ") + 1, tuple(sorted(who, key=_nulls_last))))
     found.make_automaton()
     return found
 
@@ -70,14 +77,14 @@ def word_ends(text: str) -> list[tuple[int, int]]:
     return list(zip(point[np.flatnonzero(edge == 1)].tolist(), point[np.flatnonzero(edge == -1)].tolist(), strict=True))
 
 
-def scan(text: str | None, found) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: str | None, found) -> tuple[int, list[tuple[int, int]], set[str | None]]:
     """Number of words, the maximal hit runs of words (end exclusive), the items."""
     words = normal_words(text)
     if found is None or not words:
         return len(words), [], set()
     line = f" {b' '.join(words).decode('latin-1')} "
     runs: list[list[int]] = []
-    items: set[str] = set()
+    items: set[str | None] = set()
     blanks = None
     for end, (n, who) in found.iter(line):
         if blanks is None:
@@ -97,31 +104,33 @@ def overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
 
     The benchmark is the only thing sent out. Its size is measured first; above
     block_bytes it is dealt into blocks by item, each with its own automaton and
-    pass, and the hits of a document are merged, so that neither the driver nor
-    a worker holds more than one block. Then rows that repeat a doc_id are merged.
+    pass over the documents, whose rows are numbered for it, and the hits of a row
+    are merged, so that neither the driver nor a worker holds more than one block.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    known = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    if n == 1:
+        return narrow.mapInArrow(_scanner([tuple(r) for r in known.collect()], window), RESULT)
+    # written, so that a row has the same number in every pass
+    narrow = written(spark, narrow.withColumn("row", F.monotonically_increasing_id()), "numbered")
     parts = []
     for k in range(n):
-        block = known if n == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        parts.append(narrow.mapInArrow(_scanner([tuple(r) for r in block.collect()], window), RESULT))
-    if n == 1:
-        return parts[0]
+        block = known.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        parts.append(narrow.mapInArrow(_scanner([tuple(r) for r in block.collect()], window), f"{RESULT}, row long"))
     runs = F.array_sort(F.flatten(F.collect_list("runs")))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     add = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(a["end"], x["first"]))).alias("n"), F.greatest(a["end"], x["last"]).alias("end"))
     return (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("runs"))
+        .groupBy("row")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("runs"))
         .select("doc_id", "n_words", F.aggregate("runs", start, add)["n"].alias("n_hit"), "items", "runs")
     )
 
 
-def _scanner(items: list[tuple[str, str | None]], window: int):
+def _scanner(items: list[tuple[str | None, str | None]], window: int):
     fields = ("first", "last", "start", "end")
     run_type = pa.list_(pa.struct([(f, pa.int32()) for f in fields]))
 
@@ -135,11 +144,11 @@ def _scanner(items: list[tuple[str, str | None]], window: int):
                 at = word_ends(text) if own else []
                 total.append(n)
                 hit.append(sum(b - a for a, b in own))
-                who.append(sorted(names))
+                who.append(sorted(names, key=_nulls_last))
                 runs.append([dict(zip(fields, (a, b, at[a][0], at[b - 1][1]), strict=True)) for a, b in own])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(who, pa.list_(pa.string())), pa.array(runs, run_type)],
-                names=["doc_id", "n_words", "n_hit", "items", "runs"],
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(who, pa.list_(pa.string())), pa.array(runs, run_type), *batch.columns[2:]],
+                names=["doc_id", "n_words", "n_hit", "items", "runs", *batch.schema.names[2:]],
             )
 
     return run
