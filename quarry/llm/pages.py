@@ -7,9 +7,19 @@ terminals. Blocks that follow one another, and those next in the same parent,
 are joined by edges whose capacity falls with their distance in the tree. The
 minimum cut then parts content from boilerplate.
 
+Markup is read after HTML's rules for tokens: a tag's name goes up to white
+space, `/` or `>`, an attribute's value may be unquoted, only script, style and
+the like have content that is no markup, and an svg may close itself. What
+names boilerplate counts on whole words of class, id and role, and not on an
+element that holds the main part.
+
 Defined cases: null and empty pages, and those without content, give the empty
-text; unclosed tags and comments end where HTML lets them, at the latest with
-the page; repeated rows are answered each.
+text; an empty table gives an empty result; unclosed elements and comments end
+where HTML lets them, buttons and drawings with the next block at the latest, a
+tag that the page ends in is dropped; a block at equal cost of both labels
+(a tie) is boilerplate; very long pages are read whole, in time that grows with
+their blocks; repeated rows, also those with one page_id and several texts, are
+answered each; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,48 +38,115 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .kernels import slices
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|template|noscript|textarea|select|iframe|svg|math|object|title|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
+#: Where markup starts, as HTML's tokenizer has it; any other `<` is text.
+_MARK = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*)|/)")
+_ATTRIBUTES = re.compile(r"((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*+)>")
+_COMMENT_END = re.compile(r"(?<=<!)--!?>|(?<=<!-)-!?>|--!?>")
+_PAIR = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-# HTML's elements by how they break text, and what their names say.
+# HTML's elements by how they are read and how they break text, and what names say.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+FOREIGN = frozenset("svg math".split())
+GONE = frozenset("button select datalist svg math object audio video canvas meter progress".split())
+GONE_BLOCKS = frozenset("template noscript head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-AWAY = frozenset("nav header footer aside form menu dialog fieldset".split())
+AWAY = frozenset("nav header footer aside form menu dialog fieldset search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|nav\w*|menu\w*|breadcrumb\w*|foot\w*|head(?:er)?|masthead|comment\w*|disqus|reply|replies|respond|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe\w*|signup|login|share\w*|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|toolbar|copyright|legal|disclaimer|search\w*|complementary|navigation|contentinfo|tags?|skip\w*)(?=$|[\s_-])",
-    re.I,
+AWAY_NAMES = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion banner banners sidebar sidebars nav navs navbar navigation navlinks menu menus submenu"
+    " breadcrumb breadcrumbs foot footer footers masthead header comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe"
+    " subscription signup login share shares sharing sharebar social related recommend recommended recommendations widget widgets pagination pager toolbar copyright legal disclaimer search searchbox complementary contentinfo"
+    " tags taglist skip skiplink".split()
 )
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body-?text|text)(?=$|[\s_-])", re.I)
+#: A name that begins with one of these says what the page has, not what the element is.
+ABOUT_PAGE = frozenset("no not has have with without is hide hidden show js page body layout single theme site template type admin logged custom".split())
+#: These parts of a name say how its element looks or is fixed, and `header` with one of the second kind is a heading inside the article.
+LOOKS = frozenset("fixed sticky visible enabled disabled open closed collapsed expanded active on off".split())
+ARTICLE_PARTS = frozenset("article post entry story content section chapter page".split())
+CONTENT_NAMES = frozenset("article articlebody content main post entry story text bodytext articletext postbody".split())
 
 FEATURES = 9
 EDGE = 0.8
 LIMIT = 6.0
 
 
+def _is_away(name: str) -> bool:
+    """Whether a class, id or role names boilerplate: `site-footer` does, `no-sidebar`, `header-fixed` and `entry-header` don't."""
+    parts = _PARTS.findall(_HUMP.sub("-", name).lower())
+    if not parts or (len(parts) > 1 and (parts[0] in ABOUT_PAGE and not (parts[0] in ("site", "page") and len(parts) == 2) or LOOKS.intersection(parts))):
+        return False
+    found = [x for x in parts if x in AWAY_NAMES]
+    if found == ["header"] and len(parts) > 1 and ARTICLE_PARTS.intersection(parts):
+        return False
+    return bool(found) or "side-bar" in name or "".join(parts) in AWAY_NAMES
+
+
+@lru_cache(4096)
+def _named(names: str) -> tuple[bool, bool]:
+    """(away, content) of the words of class, id and role."""
+    words = names.split()
+    return any(map(_is_away, words)), any(CONTENT_NAMES.intersection(_PARTS.findall(_HUMP.sub("-", w).lower())) and not _is_away(w) for w in words)
+
+
 class Node:
-    __slots__ = ("away", "content", "depth", "link", "parent", "tag")
+    """An element. own: 0, or why it may be boilerplate: 1 by its name, 2 as a form, 3 by its element, 4 surely (not shown)."""
+
+    __slots__ = ("content", "depth", "holds", "link", "own", "parent", "settled", "tag", "gone")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self.settled, self.holds = tag, parent, None, 0
         if parent is None:
-            self.depth, self.away, self.content, self.link = 0, False, 0, False
+            self.depth, self.own, self.content, self.link, self.gone = 0, 0, 0, False, False
             return
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
+        names, own, main = "", 0, tag == "main"
+        if attributes:
+            for m in _PAIR.finditer(attributes):
+                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                if key in ("class", "id", "role"):
+                    names += " " + value
+                    main |= key == "role" and value.strip().lower() == "main"
+                elif key == "itemprop" and value.strip().lower() == "articlebody":
+                    main = True
+                elif key == "hidden" and value.lower() != "until-found" or key == "style" and _HIDING.search(value) or key == "aria-hidden" and value.lower() == "true":
+                    own = 4
+        away, content = _named(names) if names else (False, False)
         self.depth = parent.depth + 1
-        self.away = parent.away or tag in AWAY or bool(names and AWAY_NAMES.search(names)) or bool(attributes and _HIDDEN.search(attributes))
-        self.content = 2 if tag in ("article", "main") or parent.content == 2 else int(bool(names and CONTENT_NAMES.search(names))) or parent.content
+        if tag in ("html", "body") or main:
+            self.own = own if main else 0
+        else:
+            self.own = own or (2 if tag == "form" else 3 if tag in AWAY else int(away))
+        self.content = 2 if tag == "article" or main or parent.content == 2 else int(content) or parent.content
         self.link = parent.link or tag == "a"
+        self.gone = parent.gone or tag in GONE or tag in GONE_BLOCKS
+        kind = 4 if main else 2 if tag == "article" else 1 if tag == "h1" else 0
+        if kind:
+            node = parent
+            while node is not None and node.holds & kind == 0:
+                node.holds |= kind
+                node = node.parent
+
+    @property
+    def away(self) -> bool:
+        """Whether it stands in boilerplate. What holds the main part, or with a mere name or as a form the article or its heading, is a wrapper; `main` is none of it. A header inside the article is a part of it."""
+        todo, node = [], self
+        while node is not None and node.settled is None:
+            todo.append(node)
+            node = node.parent
+        for node in reversed(todo):
+            own = node.own
+            if own in (1, 2, 3) and (node.holds & 4 or own < 3 and node.holds):
+                own = 0
+            elif own == 3 and node.tag == "header" and node.parent.content == 2:
+                own = 0
+            node.settled = bool(own) or (node.parent is not None and node.parent.settled)
+        return self.settled
 
 
 class Block:
@@ -79,14 +156,52 @@ class Block:
         self.text, self.node, self.linked = text, node, linked
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): `text`, `open`, `close` and `raw`, an element whose content is no markup and was skipped. Comments are left out."""
+    at, n = 0, len(html)
+    text = 0  # where the text that is not given yet starts
+    while True:
+        m = _MARK.search(html, at)
+        if m is None:
+            break
+        if m.start() > text:
+            yield "text", html[text : m.start()], ""
+        name = m[2]
+        if name is None:
+            if m[0] == "<!--":
+                end = _COMMENT_END.search(html, m.start() + 2)
+                at = end.end() if end else n
+            else:
+                end = html.find(">", m.end())
+                at = end + 1 if end >= 0 else n
+            text = at
+            continue
+        end = _ATTRIBUTES.match(html, m.end())
+        if end is None:  # the page ends inside a tag
+            text = at = n
+            break
+        text = at = end.end()
+        name = name.lower()
+        if m[1]:
+            yield "close", name, ""
+        elif name in RAW:
+            close = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
+            text = at = close.end() if close else n
+            yield "raw", name, ""
+        else:
+            yield "open", name, end[1]
+    if text < n:
+        yield "text", html[text:], ""
+
+
 def blocks(html: str | None) -> list[Block]:
     """The blocks of text of a page, in order."""
     if not html:
         return []
-    here = Node("html", None)
+    here = root = Node("html", None)
     out: list[Block] = []
     parts: list[str] = []
-    linked, owner, at = 0, here, 0
+    linked, owner = 0, here
 
     def end() -> None:
         nonlocal linked
@@ -96,65 +211,69 @@ def blocks(html: str | None) -> list[Block]:
         parts.clear()
         linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        text = unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if here.link:
-            linked += len(text)
-
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() in ("select", "textarea", "button"):
+    for kind, name, attributes in tokens(html):
+        if kind == "text":
+            if not here.gone:
+                text = unescape(name) if "&" in name else name
+                parts.append(text)
+                if here.link:
+                    linked += len(text)
+        elif kind == "raw":
+            if name in ("textarea", "iframe"):
                 parts.append(" ")
-            continue
-        tag = tag.lower()
-        if m[2]:
-            if tag in INLINE:
+        elif kind == "close":
+            if name in INLINE or name in GONE or (here.gone and here.tag not in GONE_BLOCKS and name not in CLOSES_P and name not in ("body", "html")):
                 node = here
-                while node.tag in INLINE and node.tag != tag:
+                while node.tag != name and node.parent is not None and (node.tag in INLINE or node.gone and node.tag not in GONE_BLOCKS):
                     node = node.parent
-                if node.tag == tag:
+                if node.tag == name and node.parent is not None:
                     here = node.parent
-                if tag == "br":
+                if name == "br" or name in GONE:
                     parts.append(" ")
                 continue
             end()
             node = here
-            while node is not None and node.tag != tag:
+            while node is not None and node.tag != name:
                 node = node.parent
             if node is not None and node.parent is not None:
                 here = node.parent
             owner = here
-            continue
-        if tag in INLINE:
-            if tag == "br":
+        elif here.gone and name not in CLOSES_P and here.tag not in GONE_BLOCKS:
+            # inside what isn't text, up to its end or the next block
+            if name not in VOID and not attributes.endswith("/") and name in GONE | {"g", "option", "optgroup", "text", "a", "span"}:
+                here = Node(name, here, attributes)
+        elif name in GONE:
+            parts.append(" ")
+            if not (name in FOREIGN and attributes.endswith("/")):
+                here = Node(name, here, attributes)
+        elif name in INLINE:
+            if name == "br":
                 parts.append(" ")
-            elif tag not in VOID:
-                here = Node(tag, here, m[4])
-            continue
-        end()
-        while here.tag in INLINE and here.parent is not None:
-            here = here.parent
-        if tag in CLOSES_P and here.tag == "p":
-            here = here.parent
-        elif tag in SAME:
-            node = here
-            while node.parent is not None and node.tag not in SAME[tag] and node.tag not in SCOPES.get(tag, ()):
-                node = node.parent
-            if node.tag in SAME[tag] and node.parent is not None:
-                here = node.parent
-                if tag == "tr" and here.tag == "tr":
-                    here = here.parent
-        if tag not in VOID and not m[4].endswith("/"):
-            here = Node(tag, here, m[4])
-        owner = here
-    if at < len(html):
-        add(html[at:])
+            elif name not in VOID:
+                here = Node(name, here, attributes)
+        else:
+            end()
+            while (here.tag in INLINE or here.gone and here.tag not in GONE_BLOCKS) and here.parent is not None:
+                here = here.parent
+            if here.tag == "head" and name not in ("meta", "link", "base", "template", "noscript"):
+                here = here.parent  # the body's first element ends an open head
+            if name in ("html", "body") and here is root:
+                here = root = Node(name, here, attributes)
+                owner = here
+                continue
+            if name in CLOSES_P and here.tag == "p":
+                here = here.parent
+            elif name in SAME:
+                node = here
+                while node.parent is not None and node.tag not in SAME[name] and node.tag not in SCOPES.get(name, ()):
+                    node = node.parent
+                if node.tag in SAME[name] and node.parent is not None:
+                    here = node.parent
+                    if name == "tr" and here.tag == "tr":
+                        here = here.parent
+            if name not in VOID:
+                here = Node(name, here, attributes)
+            owner = here
     end()
     return out
 
