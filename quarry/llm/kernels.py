@@ -1,8 +1,11 @@
 """Array kernels shared by the text operators: they work on the UTF-8 bytes of
 an Arrow batch, so a text is never turned into Python words.
 
-Hashes are polynomials modulo 2**64 over random byte values, so any span's hash
-comes from two entries of one running sum; `mix` finishes them.
+Two kinds of hashes. `hashes` and `folded` mix 8 bytes, or two values, at a time
+and not linearly, so no pattern of a text makes unlike ones agree. `span_hash`
+takes any span from one running sum, which the places of each window need; it
+is a polynomial modulo 2**64, which strings of 1,024 bytes and more can be made
+to defeat, and is for windows of some hundred bytes only.
 """
 
 from __future__ import annotations
@@ -61,6 +64,53 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+_LONE = _U(0x2F1B5A7D3C9E8641)
+_ODD = _U(0x9FB21C651E98DF25)
+
+
+def folded(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One hash for each run of counts[i] values: neighbours are mixed in pairs until one is left, so long runs take few steps."""
+    out = np.zeros(len(counts), _U)
+    of = np.flatnonzero(counts > 0)
+    at, c, v = (np.cumsum(counts) - counts)[of], counts[of], values
+    while len(of):
+        one = c == 1
+        out[of[one]] = v[at[one]]
+        of, at, c = of[~one], at[~one], c[~one]
+        if not len(of):
+            break
+        half = (c + 1) // 2
+        end = np.cumsum(half)
+        new = end - half
+        left = np.repeat(at - 2 * new, half) + 2 * np.arange(end[-1])
+        right = np.where(left + 1 < np.repeat(at + c, half), v[np.minimum(left + 1, len(v) - 1)], _LONE)
+        v, at, c = mix(mix(v[left] + _ODD) * _ODD + right), new, half
+    return mix(out + counts.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end]."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+    kept = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+    out = mix((eight[start] & kept[np.minimum(size, 8)]) + size.astype(_U) * _ODD)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        counts = (size[long] + 7) // 8
+        of = np.repeat(np.arange(len(long)), counts)
+        skip = 8 * (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts))
+        left = np.minimum(size[long][of] - skip, 8)
+        out[long] = mix(folded(mix(eight[start[long][of] + skip] & kept[left]), counts) + size[long].astype(_U) * _ODD)
+    return out
+
+
+def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[start:end] of all runs, one after another, and their counts."""
+    counts = end - start
+    return values[np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], counts
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets into them; null is empty."""
     a = column.cast(pa.large_binary())

@@ -62,11 +62,10 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = K.utf8(column)
     n = len(offsets) - 1
     starts, ends, first = K.words(data, offsets)
-    s = K.running(data)
     doc_of_word = np.repeat(np.arange(n), np.diff(first))
     # 3-word windows
     repeated = np.zeros(len(starts), bool)
-    grams = K.ngram_hash(K.span_hash(s, starts, ends), 3)
+    grams = K.ngram_hash(K.hashes(data, starts, ends), 3)
     if len(grams):
         inside = np.flatnonzero(doc_of_word[2:] == doc_of_word[:-2])
         again, _ = _repeats(K.mix(grams[inside] + doc_of_word[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -83,11 +82,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     has = b > a
     line_start, line_end, doc_of_line, a, b = line_start[has], line_end[has], doc_of_line[has], a[has], b[has]
     own = doc_of_line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, copied = _repeats(K.mix(K.span_hash(s, line_start, line_end) + own))
-    word = K.span_hash(K.running(_NORMAL[data]), starts, ends)
-    total = np.zeros(len(word) + 1, np.uint64)
-    np.cumsum(word * K.powers(len(word) + 1)[0][: len(word)], out=total[1:])
-    normal = K.span_hash(total, a, b)
+    _, copied = _repeats(K.mix(K.hashes(data, line_start, line_end) + own))
+    normal = K.folded(*K.runs(K.hashes(_NORMAL[data], starts, ends), a, b))
     key = K.mix(normal + own)
     _, at, back = np.unique(key, return_index=True, return_inverse=True)
     order = np.argsort(doc_of_line[at], kind="stable")

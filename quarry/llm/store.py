@@ -16,10 +16,12 @@ _paths: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The shared folder that the cluster names. Where none is set, one of our own if all runs on this machine, as in tests; a cluster's executors don't share it, so there it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(folder, "own"):
         folder.own = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return folder.own
@@ -31,17 +33,28 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _paths.append(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(spark: SparkSession, table: DataFrame) -> None:
+    """Deletes a table that `written` gave and that nothing reads any more."""
+    _drop(spark, table.written_path)
+    _paths.remove(table.written_path)
 
 
 @contextmanager
 def scope(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
-    """At its end, of the tables written inside only the last one stays; the one at `keep` from before goes, too."""
-    before = len(_paths)
-    yield
-    for path in [*_paths[before:-1], *([keep] if keep else [])]:
-        _drop(spark, path)
-        _paths.remove(path)
+    """At its end, of the tables written inside only the last one stays, or none after an error; the one at `keep` from before goes, too."""
+    before, done = len(_paths), False
+    try:
+        yield
+        done = True
+    finally:
+        for path in [*(_paths[before:-1] if done else _paths[before:]), *([keep] if keep in _paths else [])]:
+            _drop(spark, path)
+            _paths.remove(path)
 
 
 def latest() -> str | None:
