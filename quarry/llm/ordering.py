@@ -2,7 +2,9 @@
 
 Rows (a, b, row, at) are put in order by ranges, so that a key of any size is
 spread over several tasks, and each is compared with its neighbours. Only the
-first and last row of each task are compared with those of other tasks.
+first and last row of each task are compared with those of other tasks. The rows
+are written first: ranges are found by a sample, which else would have the
+texts read twice.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import drop, written
 
 DONE, OPEN = 2, 1
 #: Keys of documents that are sent to all tasks at most (8 bytes each), to tell which texts need no exchange; with more, all texts are exchanged.
@@ -69,8 +71,10 @@ def recurring(spark: SparkSession, rows: DataFrame, name: str, wanted: int = DON
     done: a and b recur. open: a recurs with another b, too, and the row is at the
     border of its equals in the order, so that each kind of equals has one open row.
     """
+    rows = written(spark, rows, f"{name}-rows")
     order = rows.repartitionByRange("a", "b", "row", "at").sortWithinPartitions("a", "b")
     found = written(spark, order.mapInArrow(partial(_compare, wanted), FLAGGED), name)
+    drop(spark, rows)
     edges = found.where("edge = 1")  # two rows of each task
     by_a = edges.groupBy("a").agg(F.count("*").alias("of_a"))
     by_ab = edges.groupBy("a", "b").agg(F.count("*").alias("of_ab"))
@@ -80,6 +84,21 @@ def recurring(spark: SparkSession, rows: DataFrame, name: str, wanted: int = DON
     return both.select("a", "b", "row", "at", (F.col("same") >= 2).alias("done"), (F.col("same") % 2 == 1).alias("open"))
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): row is doc_id where that tells all rows apart, else a number in the order of doc_id (null first) and text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if texts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        return texts.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    ordered = texts.withColumn("key", F.xxhash64("text")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "text")
+    return written(spark, ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+
+
+def only(texts: DataFrame, keys: DataFrame, key: str = "row") -> DataFrame:
+    """The texts that have one of the keys."""
+    keys = keys.select(key).distinct()
+    return texts.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, key, "left_semi")
+
+
 def with_lists(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """texts with their list `at`, and the texts that have none, if few enough have one to send the keys out."""
     keys = lists.select("row")

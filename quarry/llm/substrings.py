@@ -18,8 +18,10 @@ over several tasks; only the first and last row of each task are compared with
 those of others.
 
 Defined cases: null is empty; texts shorter than SPAN bytes stay whole;
-repeated rows are occurrences of their own, so all their long strings go; an
-empty table gives an empty result.
+repeated rows, and rows that share a doc_id, are occurrences of their own, so all
+their long strings go; all occurrences of a string are removed alike, so there
+are no ties; very long texts are read whole; an empty table gives an empty
+result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .parsing import TRIGGER, phrases
-from .ordering import ROWS, recurring, rows_of, with_lists
+from .ordering import ROWS, numbered, recurring, rows_of, with_lists
 from .store import written
 
 SPAN = 200
@@ -159,9 +161,8 @@ def _remove(span: int):
     return run
 
 
-def cover(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(row, at): packed ranges of starts of strings of `span` bytes that also start elsewhere; row as in `keyed`."""
-    texts = keyed(docs)
+def cover(spark: SparkSession, texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(row, at): packed ranges of starts of strings of `span` bytes that also start elsewhere, in texts(row, text)."""
     whole = recurring(spark, texts.select("row", "text").mapInArrow(_parse(span), ROWS), "contexts")
     done = [whole.where("done").select("row", "at")]
     open_phrases = written(spark, whole.where("open").select("row", "at").distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "open")
@@ -179,15 +180,11 @@ def cover(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     return done[0].unionByName(done[1]).unionByName(done[2])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of both."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-
-
 def remove_repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    ranges = written(spark, cover(spark, docs, span).distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "ranges")
-    having, others = with_lists(keyed(docs), ranges)
+    texts = numbered(spark, docs)
+    ranges = written(spark, cover(spark, texts, span).distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "ranges")
+    having, others = with_lists(texts, ranges)
     none = F.array().cast("array<long>")
     out = having.select("doc_id", "text", F.coalesce("at", none).alias("at"))
     if others is not None:
