@@ -7,23 +7,29 @@ words whose hash is the least among their neighbours, so that equal passages
 are cut alike wherever they stand. A piece of less than LEAST words belongs to
 the one beside it, so every word of a line is in one of its pieces.
 
-Lines and pieces have one MinHash value a band: of a pair with similarity 0.8,
-all of b bands miss 0.2 ** b; the shortest can only be similar when their sets
-are equal, which one band always shows. Bands are put in order by one sort, which
-shows the colliding ones. Equal ones are one class; of classes that collide the
-texts are joined, verified by their exact Jaccard similarity and clustered by
-components. Lines are compared with lines and pieces with pieces (a line always
-collides with one of its own); a line of one piece is both. The first line of a cluster, by doc_id and place, stays; the others
-are removed. Then the same is done with the pieces of the lines that stay, so
-that what is removed always has a copy that stays.
-
-Defined cases: a null or empty text has no paragraphs. Rows with the same
-doc_id are one document, so a repeated row removes nothing; one without doc_id
-keeps all. An empty table gives an empty result.
+Lines and pieces have one MinHash value a band (ROWS_A_BAND of them), and so many
+bands that of the pairs with a similarity of 0.8 at least RECALL collide in one;
+units of fewer shingles than EXACT are only similar when equal. Equal units, by
+two hashes of 64 bits, are one class, counted before any exchange. The classes
+that collide in a band are a block; its pairs are verified by their exact
+Jaccard similarity (see `jaccard.linked_blocks`) and clustered by components.
+Lines are compared with lines and pieces with pieces (a line always collides
+with one of its own); a line of one piece is both. The first line of a cluster,
+by doc_id and place, stays; the others are removed. Then the same is done with
+the pieces of the lines that stay, so that what is removed always has a copy
+that stays.
+
+Defined cases: a null or empty text has no paragraphs. Repeated rows, and rows
+that share a doc_id but not the text, are documents of their own: the first, by
+doc_id and then by text (ties), keeps what the others lose. A row without doc_id
+keeps all and takes nothing from others. Very long texts are read whole. An
+empty table gives an empty result. Other columns of the input, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .jaccard import similar
-from .ordering import ROWS, recurring, rows_of, with_lists
+from . import jaccard as J
+from .ordering import numbered, only, with_lists
 from .store import written
 
 WORDS, PERCENT = 5, 80
 LEAST, LONG, NEAR = 8, 32, 8
-#: Bands of paragraphs below and from MANY shingles on (recall 0.96 and 0.998 at similarity 0.8).
-BANDS, MANY = (2, 4), 16
-#: Fewer shingles are similar at 0.8 only when equal: one band shows that always.
-EXACT = 4
+#: Of the pairs with a similarity of PERCENT / 100 this part collides in a band, at least.
+RECALL, ROWS_A_BAND = 0.995, 1
+BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - (PERCENT / 100) ** ROWS_A_BAND))
+#: A set of k entries and a similar one that isn't equal: one has k * 100 / PERCENT entries or more, so k is 4 at least.
+EXACT = math.ceil(PERCENT / (100 - PERCENT))
 #: A unit's place: its line's number, its number among the line's pieces (0: the whole line), and a bit that is 0 for a line and 1 for a piece.
 LINE_BITS = 32
 IS_LINE, IS_PIECE = "at & 1 = 0", "at & 1 = 1"
@@ -50,14 +57,14 @@ _LINES = np.uint64(0x6C8E9CF570932BD5)
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
-_SEEDS = K.mix(np.arange(1, 9, dtype=np.uint64))
+_SEEDS = K.mix(np.arange(1, BANDS * ROWS_A_BAND + 1, dtype=np.uint64))
 
 
 def _breaks(lower: np.ndarray, offsets: np.ndarray):
     """Word hashes, starts and ends, and whether each word is the first of a line, and of a sentence."""
     starts, ends, first = K.words(lower, offsets)
     n = len(starts)
-    word = K.span_hash(K.running(lower), starts, ends)
+    word = K.hashes(lower, starts, ends)
     line = np.zeros(n, bool)
     if not n:
         return word, starts, ends, line, line
@@ -133,32 +140,40 @@ def units(data: np.ndarray, offsets: np.ndarray):
     return word, starts, ends, owner[order], a[order], b[order], at[order]
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+UNITS = "doc long, row long, at long, low long, high long, n long, " + ", ".join(f"b{j} long" for j in range(BANDS))
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each unit's two hashes, number of shingles and band values; those of units that are only similar when equal are null."""
     for batch in K.slices(batches, "text"):
-        data, offsets = K.utf8(batch.column(1))
+        data, offsets = K.utf8(batch.column(2))
         word, _, _, doc, a, b, at = units(data, offsets)
         if not len(a):
             continue
-        total = np.concatenate([[np.uint64(0)], np.cumsum(word * K.powers(len(word) + 1)[0][: len(word)])])
+        values, counts = K.runs(word, a, b)
         salt = np.where(at & 1 == 0, _LINES, np.uint64(0))
-        own = K.span_hash(total, a, b) ^ salt
-        row = batch.column(0).to_numpy(zero_copy_only=False)[doc]
-        n = b - a - WORDS + 1  # shingles; one of all words, if there are fewer than WORDS
+        low = K.mix(K.folded(values, counts) ^ salt)
+        high = K.mix(K.folded(K.mix(values ^ np.uint64(0x5DEECE66D)), counts) + salt)
+        n = b - a - WORDS + 1
         grams = K.ngram_hash(word, WORDS)
-        few = n < EXACT
-        for j in range(BANDS[1]):
-            use = np.flatnonzero((n >= 1) & ((j == 0) | ~few & (j < BANDS[0]) | (n >= MANY)))
-            if len(use):
-                value = np.append(K.mix(grams ^ _SEEDS[j]), np.iinfo(np.uint64).max)
-                least = np.minimum.reduceat(value, np.stack([a[use], a[use] + n[use]], 1).ravel())[::2]
-                yield rows_of(K.mix((least ^ salt[use]) + np.uint64(j)), own[use], row[use], at[use])
-        tiny = np.flatnonzero(n < 1)
-        if len(tiny):
-            yield rows_of(K.mix(own[tiny] + np.uint64(BANDS[1])), own[tiny], row[tiny], at[tiny])
+        use = np.flatnonzero(n >= EXACT)
+        span = np.stack([a[use], a[use] + n[use]], 1).ravel()
+        bands = []
+        for j in range(BANDS):
+            band = np.full(len(use), j, np.uint64)
+            for i in range(ROWS_A_BAND):
+                value = np.append(K.mix(grams ^ _SEEDS[j * ROWS_A_BAND + i]), np.iinfo(np.uint64).max)
+                band = K.mix(band + np.minimum.reduceat(value, span)[::2]) if len(use) else band
+            every = np.zeros(len(a), np.uint64)
+            every[use] = K.mix(band ^ salt[use])
+            bands.append(pa.array(K.signed(every), mask=n < EXACT))
+        ids = [pa.array(batch.column(i).to_numpy(zero_copy_only=False)[doc]) for i in (0, 1)]
+        columns = [*ids, pa.array(at), pa.array(K.signed(low)), pa.array(K.signed(high)), pa.array(np.maximum(n, 1)), *bands]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in UNITS.split(", ")])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the listed paragraphs."""
+    """Sets of shingles, and their parities, of the listed units."""
     for batch in K.slices(batches, "text"):
         data, offsets = K.utf8(batch.column(1))
         _, starts, ends, doc, a, b, at = units(data, offsets)
@@ -169,51 +184,59 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = lists.flatten()
         place = asked.field("place").to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(counts)), counts)
-        found = [_find(at, first, d, x) for d, x in zip(owner.tolist(), place.tolist(), strict=True)]
-        texts = [raw[starts[a[k]] : ends[b[k] - 1]] for k in found if k is not None]
-        classes = asked.field("class").cast(pa.int64()).filter(pa.array([k is not None for k in found], pa.bool_()))
-        yield pa.RecordBatch.from_arrays([classes, pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
-
-
-def _find(at: np.ndarray, first: np.ndarray, doc: int, place: int) -> int | None:
-    """The number of the document's unit at this place; None if another row with its doc_id has it."""
-    k = int(first[doc] + np.searchsorted(at[first[doc] : first[doc + 1]], place))
-    return k if k < first[doc + 1] and at[k] == place else None
-
-
-def clusters(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(row, at, cluster): paragraphs that are in a cluster with others; row is the doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("row"), "text").where("row is not null")
-    found = recurring(spark, texts.mapInArrow(_bands, ROWS), "bands")
-    found = found.groupBy("row", "at").agg(F.first("b").alias("class"), F.max("open").alias("open"))
-    found = written(spark, found, "colliding")
-    asked = found.where("open").groupBy("class").agg(F.min(F.struct("row", "at")).alias("x"))
+        found = [int(first[d] + np.searchsorted(at[first[d] : first[d + 1]], x)) for d, x in zip(owner.tolist(), place.tolist(), strict=True)]
+        texts = pa.array([raw[starts[a[k]] : ends[b[k] - 1]] for k in found], pa.binary()).cast(pa.string())
+        v, to = J.entries(texts, WORDS)
+        lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(K.signed(v)))
+        yield pa.RecordBatch.from_arrays([asked.field("class").cast(pa.int64()), pa.array(np.diff(to), pa.int64()), lists, *map(pa.array, J._parities(v, to))], names=["row", "n", "entries", *J.BITS])
+
+
+def clusters(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """(doc, row, at, cluster): units that are in a cluster with others, of texts(row, doc_id, text)."""
+    texts = texts.where("doc_id is not null")
+    found = written(spark, texts.select(F.col("doc_id").alias("doc"), "row", "text").mapInArrow(_units, UNITS), "units")
+    equal = found.groupBy("low", "high").agg(F.count("*").alias("c")).where("c > 1")
+    bands = found.select("low", "high", F.explode(F.array(*(f"b{j}" for j in range(BANDS)))).alias("entry")).where("entry is not null")
+    # unlike units in one band: first and last hash differ; copies are combined before the exchange
+    open_ = written(spark, bands.groupBy("entry").agg(F.min("low").alias("x"), F.max("low").alias("y")).where("x <> y").select("entry"), "open")
+    blocks = written(spark, only(bands, open_, "entry").distinct(), "colliding")
+    classes = written(spark, equal.select("low", "high").unionByName(blocks.select("low", "high")).distinct(), "named")
+    classes = written(spark, classes.select(F.monotonically_increasing_id().alias("class"), "low", "high"), "classes")
+    blocks = written(spark, blocks.join(classes, ["low", "high"]).select("entry", F.col("class").alias("row")), "blocks")
+    near = blocks.select(F.col("row").alias("class")).distinct().join(classes, "class")
+    # one unit of each class that collides; its place and row are in the smallest pair
+    asked = found.select("row", "at", "low", "high").join(near, ["low", "high"]).groupBy("class").agg(F.min(F.struct("row", "at")).alias("x"))
     lists = written(spark, asked.groupBy(F.col("x.row").alias("row")).agg(F.collect_list(F.struct(F.col("x.at").alias("place"), "class")).alias("at")), "asked")
-    having, _ = with_lists(texts, lists)
-    parts = having.where("at is not null").select("row", "text", "at").mapInArrow(_parts, "doc_id long, text string")
-    near = similar(spark, written(spark, parts, "parts"), WORDS, PERCENT)
-    near = near.select(F.col("doc_id").alias("class"), "component_id").distinct()
-    return found.join(near, "class", "left").select("row", "at", F.coalesce("component_id", "class").alias("cluster"))
+    having, _ = with_lists(texts.select("row", "text"), lists)
+    kind = "row long, n long, entries array<long>, " + ", ".join(f"{b} long" for b in J.BITS)
+    sets = written(spark, having.where("at is not null").select("row", "text", "at").mapInArrow(_parts, kind), "sets")
+    known = sets.drop("entries")
+    blocks = written(spark, blocks.join(known.select("row", "n"), "row").select("entry", "row", "n", F.lit(0).alias("place")), "blocks")
+    label = J.linked_blocks(spark, blocks, known, lambda rows: sets, PERCENT)
+    named = classes.join(label, F.col("class") == F.col("node"), "left").select("low", "high", F.coalesce("component", "class").alias("cluster"))
+    of_several = named.join(equal, ["low", "high"], "left").groupBy("cluster").agg(F.sum(F.coalesce("c", F.lit(1))).alias("c")).where("c > 1").select("cluster")
+    named = written(spark, named.join(of_several, "cluster", "left_semi"), "clustered")
+    return found.select("doc", "row", "at", "low", "high").join(named, ["low", "high"]).select("doc", "row", "at", "cluster")
 
 
 def _headed(member: DataFrame) -> DataFrame:
-    """row, at, head (row and place of the cluster's first) of the members of clusters of several."""
-    heads = member.groupBy("cluster").agg(F.min(F.struct("row", "at")).alias("head"), F.count("*").alias("c")).where("c > 1").select("cluster", "head")
+    """row, at, head (row, place and document of the cluster's first) of the members of clusters of several."""
+    heads = member.groupBy("cluster").agg(F.min(F.struct("row", "at", "doc")).alias("head"), F.count("*").alias("c")).where("c > 1").select("cluster", "head")
     return member.join(heads, "cluster").select("row", "at", "head")
 
 
-def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, members (lines and pieces that are in a cluster with others), removed (places, ascending), first_ids (documents whose paragraphs stay instead of or as its own, if in clusters)."""
-    member = written(spark, clusters(spark, docs), "clusters")
+def repeated(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """Of texts(row, doc_id, text): row, members (lines and pieces that are in a cluster with others), removed (places, ascending), first_ids (documents whose paragraphs stay instead of or as its own, if in clusters)."""
+    member = written(spark, clusters(spark, texts), "clusters")
     gone = (F.col("row") != F.col("head.row")) | (F.col("at") != F.col("head.at"))
     lines = written(spark, _headed(member.where(IS_LINE)).withColumn("gone", gone), "line-heads")
     line = F.shiftright("at", LINE_BITS).alias("line")
     without = lines.where("gone").select("row", line).distinct()
     pieces = _headed(member.where(IS_PIECE).withColumn("line", line).join(without, ["row", "line"], "left_anti")).withColumn("gone", gone)
-    return lines.unionByName(pieces).groupBy(F.col("row").alias("doc_id")).agg(
+    return lines.unionByName(pieces).groupBy("row").agg(
         F.size(F.collect_set(F.shiftright("at", 1))).alias("members"),
         F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("at")))).alias("removed"),
-        F.array_sort(F.collect_set("head.row")).alias("first_ids"),
+        F.array_sort(F.collect_set("head.doc")).alias("first_ids"),
     )
 
 
@@ -227,10 +250,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, gone in enumerate(batch.column(2).to_pylist()):
             kept, k = [], int(offsets[i])
             for g in gone or ():
-                j = _find(at, first, i, g)
-                if j is not None:
-                    kept.append(raw[k : starts[a[j]]])
-                    k = int(ends[b[j] - 1])
+                j = first[i] + np.searchsorted(at[first[i] : first[i + 1]], g)
+                kept.append(raw[k : starts[a[j]]])
+                k = int(ends[b[j] - 1])
             kept.append(raw[k : offsets[i + 1]])
             out.append((int(distinct[first[i + 1]] - distinct[first[i]]), b"".join(kept)))
         n, kept = zip(*out, strict=True)
@@ -240,13 +262,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_repeated, n_removed, first_ids, kept_text of each document."""
-    found = repeated(spark, docs).select(F.col("doc_id").alias("row"), F.col("removed").alias("at"), "members", "first_ids")
-    having, others = with_lists(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), written(spark, found, "repeated"))
+    texts = numbered(spark, docs)
+    found = repeated(spark, texts).select("row", F.col("removed").alias("at"), "members", "first_ids")
+    having, others = with_lists(texts, written(spark, found, "repeated"))
     none = F.array().cast("array<long>")
-    columns = ["row", "text", F.coalesce("at", none).alias("at"), F.coalesce("members", F.lit(0)).cast("long").alias("members"), F.coalesce("first_ids", none).alias("first_ids")]
+    columns = ["doc_id", "text", F.coalesce("at", none).alias("at"), F.coalesce("members", F.lit(0)).cast("long").alias("members"), F.coalesce("first_ids", none).alias("first_ids")]
     rows = having.select(columns)
     if others is not None:
-        rows = rows.unionByName(others.select("row", "text", none.alias("at"), F.lit(0).cast("long").alias("members"), none.alias("first_ids")))
+        rows = rows.unionByName(others.select("doc_id", "text", none.alias("at"), F.lit(0).cast("long").alias("members"), none.alias("first_ids")))
     return rows.mapInArrow(_removed, "doc_id long, n_paragraphs long, n_repeated long, n_removed long, first_ids array<long>, kept_text string")
 
 
