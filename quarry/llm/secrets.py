@@ -1,19 +1,26 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are runs of letters, digits and `+/_-` with a digit, of LEAST
-characters or more, and private-key headers. Each has thirteen numbers: length,
-character transitions, distinct characters, dictionary coverage, its path and
-the words around it. The forest is trained on the driver from labelled findings
-(their number is bounded by FINDINGS; the defaults are generated from the rules
-below, by a fixed seed) and sent as one constant, which a fold over its levels
-evaluates.
-
-Defined cases: a null or empty text has no candidates; repeated rows are
-answered each; an empty table gives an empty result.
+Candidates are whatever may be a secret, and the rest is left to the forest:
+private-key headers; runs of letters, digits and `+/_-` with a digit, of LEAST
+characters or more; tokens that begin as issuers' tokens do; any value, quoted or
+not, that follows a credential word and a separator; and passwords in URLs. Of
+overlapping ones the first and longest counts. Each has the numbers of FEATURES:
+length, character transitions, distinct characters, dictionary coverage, its path
+and the words around it. The forest is trained on the driver from labelled
+findings (of more than FINDINGS, a sample by hash; the defaults are generated from
+the rules below, by a fixed seed) and sent as one constant, which a fold over its
+levels evaluates.
+
+Defined cases: a null or empty text has no candidates; a null path is none;
+repeated rows are answered each; a probability of just ACCEPT (a tie) is a secret;
+very long texts are read whole; an empty table gives an empty result. All columns
+of the input stay but those named `candidates` and `secrets`, which are replaced;
+no other name can clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import string
@@ -31,17 +38,30 @@ TREES, DEPTH = 25, 6
 ACCEPT = 0.5
 MASK = "[SECRET]"
 
-PATTERN = (
+# Words around findings, words inside harmless names, parts of paths, and how issuers' tokens begin.
+CUES = "password passwd pwd secret token api_key apikey api-key access_key auth bearer credential private_key client_secret key aws passphrase"
+HARMLESS = "example sample test dummy placeholder sha sha1 sha256 md5 commit checksum hash digest uuid guid id revision etag integrity build version file isbn"
+WORDS = "the and for that with this from have not you are was will name user data file list page test main index value type time date item code text size line next last first call info node view form model table event error state order image style class field group local global config server client message request response default example sample public static return import export version number string array object please required none null true false optional enter your here changeme environment secret password token key"
+PATHS = "test tests example examples sample samples mock fixture fixtures docs vendor node_modules lock"
+ISSUERS = "gh[pousr]_ xox[abprs]- sk[-_] glpat- npm_ AIza eyJ"
+
+
+def _any(words: str) -> str:
+    return "(?:" + "|".join(words.split()) + ")"
+
+
+TOKENS = (
     r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
     rf"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+    rf"|(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{{16}}(?![A-Za-z0-9])|{_any(ISSUERS)}[A-Za-z0-9_-]{{10,}}+)"
 )
+#: A credential word and what may stand between it and its value.
+_CUE = rf"(?i)(?<![a-z]){_any(CUES)}s?(?:[_-][a-z0-9_-]{{1,20}})?[\"']?\s{{0,2}}(?::=|=>|[:=]|is )\s{{0,2}}"
+CUED = _CUE + r"(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|[^\s\"'<>]{4,})"
+#: user:password of an address.
+IN_URL = r"(?<=://)[^\s:/@\"']++:[^\s/@\"']{3,}+(?=@)"
 
-# Words around findings, words inside harmless names, and parts of paths.
-CUES = "password passwd pwd secret token api_key apikey api-key access_key auth bearer credential private_key client_secret key aws passphrase"
-HARMLESS = "example sample test dummy placeholder sha sha1 sha256 md5 commit checksum hash digest uuid guid id revision etag integrity build version file isbn"
-WORDS = "the and for that with this from have not you are was will name user data file list page test main index value type time date item code text size line next last first call info node view form model table event error state order image style class field group local global config server client message request response default example sample public static return import export version number string array object"
-PATHS = "test tests example examples sample samples mock fixture fixtures docs vendor node_modules lock"
-FEATURES = ("length", "letter_digit", "case", "distinct", "digits", "vowels", "dictionary", "repeated", "slashes", "path", "cue", "harmless", "prefix")
+FEATURES = ("length", "letter_digit", "case", "distinct", "digits", "vowels", "dictionary", "repeated", "slashes", "path", "cue", "harmless", "prefix", "others", "classes", "consonants", "code")
 
 
 def _share(m: Column, pattern: str) -> Column:
@@ -54,10 +74,6 @@ def _cuts(m: Column, pattern: str) -> Column:
     return (F.length(F.regexp_replace(m, pattern, "\u0000")) - F.length(m)) / F.length(m)
 
 
-def _any(words: str) -> str:
-    return "(?:" + "|".join(words.split()) + ")"
-
-
 def features(m: Column, before: Column, after: Column, path: Column) -> Column:
     """array<double> in the order of FEATURES."""
     low = F.lower(m)
@@ -74,14 +90,45 @@ def features(m: Column, before: Column, after: Column, path: Column) -> Column:
         _share(low, r"(.)\1{2,}"),
         _share(m, "[/_-]"),
         F.coalesce(F.lower(path).rlike(rf"(?:^|[^a-z]){_any(PATHS)}(?:[^a-z]|$)"), F.lit(False)).cast("double"),
-        near.rlike(rf"(?:^|[^a-z]){_any(CUES)}[\"']?\s{{0,2}}(?:[:=]|is|=>)?\s{{0,2}}[\"']?$").cast("double"),
+        near.rlike(rf"(?:^|[^a-z]){_any(CUES)}s?(?:[_-][a-z0-9_-]{{1,20}})?[\"']?\s{{0,2}}(?::=|[:=]|is|=>)?\s{{0,2}}[\"']?$|://[^\s:/@]+:$").cast("double"),
         (near.rlike(rf"(?:^|[^a-z0-9]){_any(HARMLESS)}[\"']?\s{{0,2}}[:=#]?\s{{0,2}}[\"']?$") | low.rlike("example|dummy|placeholder|changeme|your|sample")).cast("double"),
         m.rlike("^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^xox[abprs]-|^sk[-_]|^eyJ|^AIza|^-----BEGIN|^glpat-|^npm_").cast("double"),
+        _share(m, "[^A-Za-z0-9]"),
+        (m.rlike("[a-z]").cast("int") + m.rlike("[A-Z]").cast("int") + m.rlike("[0-9]").cast("int") + m.rlike("[^A-Za-z0-9]").cast("int")).cast("double"),
+        _share(low, "[bcdfghjklmnpqrstvwxz]{4,}"),
+        m.rlike(r"[$%]\{|\{\{|^<|>$|\(\)?$|\([\w\"']|^[A-Za-z_]+(?:\.[A-Za-z_]+)+[(\[]?|\[[\"'\w]+\]|^\*+$|^[Xx.]+$").cast("double"),
     )
 
 
 def _candidate_values(text: Column) -> Column:
-    return F.when(text.rlike("[0-9]|-----BEGIN"), matches(text, PATTERN)).otherwise(F.array().cast("array<struct<m:string,start:int,end:int>>"))
+    """array<struct<m, start, end>> of the candidates, by place; none overlaps another."""
+    none = F.array().cast("array<struct<m:string,start:int,end:int>>")
+    tokens = F.when(text.rlike(rf"[0-9]|-----BEGIN|A[KS]IA|{_any(ISSUERS)}"), matches(text, TOKENS)).otherwise(none)
+
+    def value(x: Column) -> Column:
+        """The value after the credential word, without its quotes or the punctuation after it."""
+        body = F.regexp_replace(x["m"], "^" + _CUE, "")
+        start = x["end"] - F.length(body)
+        quoted = body.rlike("^[\"']")
+        inner = F.when(quoted, body.substr(F.lit(2), F.length(body) - 2)).otherwise(F.regexp_replace(body, r"[.,;:!?)\]}]+$", ""))
+        start = F.when(quoted, start + 1).otherwise(start)
+        return F.struct(inner.alias("m"), start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"))
+
+    def password(x: Column) -> Column:
+        inner = F.regexp_replace(x["m"], "^[^:]*:", "")
+        return F.struct(inner.alias("m"), (x["end"] - F.length(inner)).cast("int").alias("start"), x["end"].alias("end"))
+
+    cued = F.when(text.rlike(rf"(?i){_any(CUES)}"), F.transform(matches(text, CUED), value)).otherwise(none)
+    urls = F.when(text.contains("://"), F.transform(matches(text, IN_URL), password)).otherwise(none)
+    found = F.transform(F.filter(F.concat(tokens, cued, urls), lambda x: F.length(x["m"]) >= 3), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("until"), x["m"].alias("m")))
+    zero = F.struct(none.alias("a"), F.lit(0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        one = F.array(F.struct(x["m"].alias("m"), x["start"].alias("start"), (-x["until"]).alias("end")))
+        return F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["a"], one).alias("a"), (-x["until"]).alias("at"))).otherwise(acc)
+
+    # most texts have one kind of candidate at most, whose matches don't overlap
+    return F.when(F.size(cued) + F.size(urls) > 0, F.aggregate(F.array_sort(found), zero, step)["a"]).otherwise(tokens)
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
@@ -95,31 +142,39 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, str,
     cue = lambda: plain() + r.choice(CUES.split()) + r.choice([" = ", "=", ": ", " "]) + quote()
     harmless = lambda: plain() + r.choice(HARMLESS.split()) + r.choice([" ", ": ", "=", " = "]) + quote()
     free = lambda: plain() + plain()
+    natural = lambda: "".join(r.choice(["the", "an", "re", "ou", "en", "in", "ti", "on", "es", "la", "de", "qu", "er", "st", "ma", "lo", "ne", "to"]) for _ in range(r.randint(2, 5)))
+    leet = lambda: "".join(r.choice([c, c.upper(), c]) for c in natural().translate(str.maketrans("aeo", r.choice(["430", "@30", "aeo"])))) + r.choice("!#$_-.%") * r.randint(0, 1) + some(string.digits, 1, 4) + r.choice(["", "!", "x", "#"])
     out = []
     while len(out) < n:
         path = r.choice(["src1", "app/config.py", "deploy/env", "src/main.go", "notes.txt"])
-        kind = r.randrange(6)
+        kind = r.randrange(9)
+        symbols, lower = "!@#$%^&*-_.", string.ascii_lowercase
         if len(out) % 2 == 0:
-            value, before = [
-                (f"AKIA{some(upper, 16)}", r.choice([cue, free])()),
-                (r.choice(["ghp_", "xoxb-", "sk-", "AIza", "glpat-"]) + some(alnum, 20, 40), r.choice([cue, free])()),
-                (some(hexa, 16, 64), cue()),
-                (some(alnum, 16, 64), cue()),
-                ("eyJ" + some(alnum + "_-", 40, 120), r.choice([cue, free])()),
-                (some(alnum + "+/", 24, 88) + r.choice(["", "=", "=="]), cue()),
+            value, before, after = [
+                (f"AKIA{some(upper, 16)}", r.choice([cue, free])(), None),
+                (r.choice(["ghp_", "xoxb-", "sk-", "AIza", "glpat-"]) + some(alnum, 20, 40), r.choice([cue, free])(), None),
+                (some(hexa, 16, 64), cue(), None),
+                (some(alnum, 16, 64), cue(), None),
+                ("eyJ" + some(alnum + "_-", 40, 120), r.choice([cue, free])(), None),
+                (some(alnum + "+/", 24, 88) + r.choice(["", "=", "=="]), cue(), None),
+                (leet() if r.random() < 0.6 else some(alnum + symbols, 8, 16), cue(), None),
+                (some(r.choice([lower, string.ascii_letters, string.ascii_uppercase]), 18, 40), cue(), None),
+                (leet() if r.random() < 0.6 else some(alnum, 6, 20), plain() + r.choice(["postgres", "https", "mongodb", "amqp"]) + "://" + plain().strip() + ":", "@db" + plain()),
             ][kind]
-            out.append((value, before, " " + plain(), path, 1))
         else:
             path = r.choice([path, "tests/data", "docs/example.md", "vendor/lib"])
-            value, before = [
-                (r.choice(["_", "-", ""]).join(r.choices(words, k=r.randint(3, 5))) + some(string.digits, 1, 4), free()),
-                (some(hexa, 32, 64), harmless()),
-                ("-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), r.choice([free, harmless])()),
-                (r.choice(["your-api-key-here-", "EXAMPLE", "dummy_placeholder_", "sample-token-"]) + some(string.digits, 10, 14), r.choice([cue, free])()),
-                (r.choice("x0a1") * r.randint(15, 40) + "0", r.choice([cue, free])()),
-                (r.choice([some(string.digits, 16, 20), f"20{some('012', 2)}-{some('01', 2)}-{some('012', 2)}-{some(string.digits, 8)}", "/".join(r.choices(words, k=4)) + some("0123", 1)]), free()),
+            value, before, after = [
+                (r.choice(["_", "-", ""]).join(r.choices(words, k=r.randint(3, 5))) + some(string.digits, 1, 4), free(), None),
+                (some(hexa, 32, 64), harmless(), None),
+                ("-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), r.choice([free, harmless])(), None),
+                (r.choice(["your-api-key-here-", "EXAMPLE", "dummy_placeholder_", "sample-token-"]) + some(string.digits, 10, 14), r.choice([cue, free])(), None),
+                (r.choice("x0a1*") * r.randint(4, 40), r.choice([cue, free])(), None),
+                (r.choice([some(string.digits, 16, 20), f"20{some('012', 2)}-{some('01', 2)}-{some('012', 2)}-{some(string.digits, 8)}", "/".join(r.choices(words, k=4)) + some("0123", 1)]), free(), None),
+                (r.choice([natural(), natural().capitalize(), r.choice(words), r.choice(words) + "_" + r.choice(words), " ".join(natural() for _ in range(r.randint(2, 6)))]), cue(), None),
+                (r.choice(["${" + natural().upper() + "}", "<" + natural() + ">", "{{ " + natural() + " }}", natural() + "." + natural(), natural() + "." + natural() + "()", "os.environ['" + natural().upper() + "']", "get_" + natural() + "(" + natural() + ")", "$" + natural().upper()]), cue(), None),
+                (r.choice([some(string.digits, 1, 6), f"{r.randint(1, 9)}.{r.randint(0, 99)}", "null", "none", "true", "false", "required", "string", "changeme", "optional", "n/a"]), cue(), None),
             ][kind]
-            out.append((value, before, " " + plain(), path, 0))
+        out.append((value, before, " " + plain() if after is None else after, path, 1 - len(out) % 2))
     return out
 
 
@@ -183,7 +238,9 @@ def probability(values: Column, trees: list[dict], depth: int = DEPTH) -> Column
 
 def trained(spark: SparkSession, findings: list[tuple] | None = None) -> list[dict]:
     """A forest from labelled findings: (candidate, before, after, path, label)."""
-    rows = (findings or labelled_findings())[:FINDINGS]
+    rows = list(findings or labelled_findings())
+    if len(rows) > FINDINGS:  # a sample that doesn't depend on their order
+        rows = sorted(rows, key=lambda x: hashlib.sha256(repr(x).encode()).digest())[:FINDINGS]
     table = spark.createDataFrame(rows, "m string, before string, after string, path string, label int")
     got = table.select(features(F.col("m"), F.col("before"), F.col("after"), F.col("path")).alias("x"), "label").collect()
     return forest(np.array([r[0] for r in got]), np.array([r[1] for r in got], float))
@@ -201,10 +258,13 @@ def found(spark: SparkSession, docs: DataFrame, findings: list[tuple] | None = N
         values = features(x["m"], before, after, path)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), values.alias("values"))
 
-    out = docs.withColumn("_places", _candidate_values(text))
-    out = out.withColumn("_rated", F.transform("_places", rated))
-    out = out.withColumn("candidates", F.transform("_rated", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), probability(x["values"], trees).alias("p"))))
-    return out.withColumn("secrets", F.filter("candidates", lambda x: x["p"] >= ACCEPT)).drop("_places", "_rated")
+    own = [c for c in docs.columns if c not in ("candidates", "secrets")]
+    scan = "scan"
+    while scan in docs.columns:
+        scan += "_"
+    out = docs.select(*own, F.transform(_candidate_values(text), rated).alias(scan))
+    out = out.select(*own, F.transform(scan, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), probability(x["values"], trees).alias("p"))).alias("candidates"))
+    return out.withColumn("secrets", F.filter("candidates", lambda x: x["p"] >= ACCEPT))
 
 
 def masked(text: Column, secrets: Column) -> Column:
