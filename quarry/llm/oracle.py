@@ -65,5 +65,31 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(item
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: (CAST(reverse({_DIGITS})[i] AS INTEGER) * (2 - i % 2)) // 10 + (CAST(reverse({_DIGITS})[i] AS INTEGER) * (2 - i % 2)) % 10)) % 10 = 0"
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+]
+
+
+def _spans(k: int) -> str:
+    """Matches of a kind: the texts between them give their places."""
+    name, pattern, valid = _KINDS[k]
+    return f"""m{k} AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, string_split_regex(t, '{pattern}') AS g FROM d),
+u{k} AS (SELECT doc_id, f[i] AS m, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS i FROM m{k})),
+s{k} AS (SELECT doc_id, {k} AS kind, '{name}:' || CAST(a AS BIGINT) || ':' || CAST(a + length(m) AS BIGINT) AS span, a FROM u{k} WHERE CASE WHEN length(m) > 0 THEN {valid} END)"""
+
+
+PERSONAL = f"""
+WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents), {", ".join(_spans(k) for k in range(4))},
+s AS ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(4))})
+SELECT d.doc_id, {", ".join(f"count(CASE WHEN kind = {k} THEN 1 END) AS n_{x[0]}" for k, x in enumerate(_KINDS))}, sha256(coalesce(string_agg(span, ',' ORDER BY kind, a), '')) AS base_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_array_dedup": REPEATS, "op4_quality_rules": QUALITY, "op6_ngram_jaccard_join": JACCARD, "op10_benchmark_decontamination": LEAKS}
+    return {"pii_base": PERSONAL, "op3_suffix_array_dedup": REPEATS, "op4_quality_rules": QUALITY, "op6_ngram_jaccard_join": JACCARD, "op10_benchmark_decontamination": LEAKS}

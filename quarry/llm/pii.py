@@ -10,9 +10,15 @@ how likely each candidate is real. With these as soft labels a logistic span
 classifier is trained over votes and shape; loose candidates that it accepts
 and that overlap no base span are added.
 
-Defined cases: a null or empty text has no spans; repeated rows are counted and
-answered each; an empty table gives an empty result. A loose candidate that
-touches a base span, or an earlier accepted one of its kind, is not added.
+The texts are matched once: spans and codes are written, counted and answered
+from there.
+
+Defined cases: a null or empty text has no spans; repeated rows, and rows that
+share a doc_id, are counted and answered each; a probability of just ACCEPT (a
+tie) is accepted; very long texts are read whole; an empty table gives an empty
+result; other columns of the input, whatever their names, are ignored. A loose
+candidate that touches a base span, or an earlier accepted one of its kind, is
+not added.
 """
 
 from __future__ import annotations
@@ -26,10 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spans import matches
+from .store import written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Loose candidates count as found from this probability on.
 ACCEPT = 0.5
+#: The classifier sees each kind as this many candidates, whatever the size of the corpus.
+EVIDENCE = 2000.0
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: The contract's patterns, with possessive quantifiers and look-behinds that keep the matches and make them linear.
@@ -45,8 +54,8 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z.-])[0-9]{4}([ .])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
 }
-#: What a text must hold for a kind's patterns to be tried.
-NEEDED = {"email": ("@", "at"), "ip": (".", ":"), "card": ("0123456789", "0123456789"), "phone": ("+", "0123456789")}
+#: What a text must hold for a kind's strict pattern, and its loose one, to be tried: a character, one of several, or a pattern.
+NEEDED = {"email": ("@", r"(?i)[\[({<] ?at ?[\])}>]"), "ip": (".", ":"), "card": ("0123456789", "0123456789"), "phone": ("+", "0123456789")}
 
 # Words and prefixes by which the labelers vote.
 TLDS = "com net org edu gov mil int info biz io co ai dev app me us uk de fr es it nl eu ch at be se no fi dk pl pt ru cn jp in br au ca"
@@ -60,8 +69,8 @@ AGAINST = "version|ver|release|isbn|issn|order|invoice|item|part|serial|page|sec
 
 
 def _holds(text: Column, chars: str) -> Column:
-    """Whether text has one of the characters, or the word."""
-    return text.contains(chars) if len(chars) <= 2 else F.length(F.translate(text, chars, "")) < F.length(text)
+    """Whether text has one of the characters, or a match."""
+    return text.contains(chars) if len(chars) == 1 else text.rlike(chars) if chars.startswith("(?i)") else F.length(F.translate(text, chars, "")) < F.length(text)
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -117,9 +126,11 @@ def _votes(kind: str, x: Column, text: Column, strict: bool) -> list[Column]:
         good, bad = m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})$"), m.rlike("[ -][0-9][ -]")
     else:
         digits = F.regexp_replace(m, "[^0-9]", "")
-        known, unknown = digits.rlike("^(?:1?[2-9][0-8][0-9][2-9]|[2-9][0-9])"), digits.rlike("^(?:0|1?[01])")
+        abroad = m.startswith("+")
+        known = F.when(abroad, digits.rlike("^(?:1[2-9][0-8][0-9][2-9]|[2-9][0-9])")).otherwise(digits.rlike("^1?[2-9][0-8][0-9][2-9][0-9]{6}$"))
+        unknown = F.when(abroad, digits.rlike("^(?:0|1[01])")).otherwise(digits.rlike("^(?:[01][0-9]{9}|[0-9]{3}[01][0-9]{6})$"))
         good, bad = m.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$"), m.rlike(r"[ .-]{2}|\(\)")
-    cue, anti = before.rlike(f"(?:^|[^a-z])(?:{CUES[kind]})[^a-z0-9]{{0,4}}$|(?:^|[^a-z])(?:{CUES[kind]})[^a-z0-9]+[a-z]+[^a-z0-9]{{1,3}}$"), before.rlike(f"(?:^|[^a-z])(?:{AGAINST})[^a-z0-9]{{0,4}}$")
+    cue, anti = before.rlike(f"(?:^|[^a-z])(?:{CUES[kind]})[^a-z0-9]{{0,4}}$|(?:^|[^a-z])(?:{CUES[kind]})[^a-z0-9]+[a-z]+[^a-z0-9]{{1,3}}$"), before.rlike(f"(?:^|[^a-z])(?:{AGAINST})(?: (?:no|nr|number))?[^a-z0-9]{{0,4}}$")
     return [F.lit(2 if strict else 1), _vote(good, bad), _vote(known, unknown), _vote(cue, anti), _vote(~glued, glued)]
 
 
@@ -230,8 +241,10 @@ def classifier(counts: dict[int, int], belief: dict, rounds: int = 300, penalty:
     for i, code in enumerate(codes):
         x[i, _features(code)] = 1
     y = np.array([belief[decoded(c)[:2]] for c in codes])
-    n = np.array([counts[c] for c in codes], float)
-    n = np.minimum(n, 1000.0) if n.size else n  # else one common shape outweighs the rest of its kind
+    # roots of the counts, as shares of their kind: common shapes don't outweigh the rest, and a larger corpus changes nothing
+    n = np.array([counts[c] for c in codes], float) ** 0.5
+    kinds = np.array([decoded(c)[0] for c in codes], int)
+    n *= EVIDENCE / np.bincount(kinds, n, len(KINDS))[kinds] if n.size else 1.0
     w = np.zeros(width)
     for _ in range(rounds):  # Newton's method would do; plain steps need no inverse
         p = 1 / (1 + np.exp(-x @ w))
@@ -242,9 +255,9 @@ def classifier(counts: dict[int, int], belief: dict, rounds: int = 300, penalty:
 
 
 def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, the base arrays by kind, and `added`: array of (kind, start, end)."""
+    """doc_id, the base arrays by kind, and `added`: array of (kind, start, end)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(texts)
+    found = written(spark, candidates(texts).drop("text"), "spans")
     # at most 4 * 3^5 * 16 rows, whatever the corpus
     counts = {r[0]: r[1] for r in found.select(F.explode("codes").alias("code")).groupBy("code").count().collect()}
     _, belief = reliabilities(counts)
@@ -270,3 +283,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's rows without the spans that the method adds, which SQL can't express."""
+    return op1_pii(spark, sf_dir).drop("spans")
