@@ -12,7 +12,11 @@ Training rows are those with a text, a lang and crc32(doc_id) mod 5 other than
 0; of these, remainder 1 calibrates.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; so
-is every text if nothing can be learned. Repeated rows are answered each.
+is every text if nothing can be learned, as from an empty table. Every language
+that a row may be learned from is learned, however rare. Of equal probabilities
+(ties) the language first by name counts. Repeated rows, and rows that share a
+doc_id, are answered each. Very long texts are read whole. Other columns of the
+input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ SIZES = (1, 2, 3)
 BITS = 15
 #: Rows a language that train, and that calibrate, about.
 SAMPLE, CALIBRATE = 500, 200
-#: Languages at most; with more the rarest are left out.
-LANGUAGES = 200
+#: Documents whose n-grams are looked at together.
+TOGETHER = 256
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.3, 1.0, 0.02, 0.5
 SCALE = 20.0
 
@@ -78,16 +82,24 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each place, once for each task; place -1 counts the documents."""
+    """Documents that hold each place, once for each task; place -1 counts the documents. Of each language, the rows that train (-2) and calibrate (-3)."""
     total, n = np.zeros(1 << BITS, np.int64), 0
+    sizes: dict[tuple[int, str], int] = {}
     for batch in K.slices(batches, "text"):
         place, at, _ = grams(batch.column(0))
-        held = np.zeros((batch.num_rows, 1 << BITS), bool)
-        held[np.repeat(np.arange(batch.num_rows), np.diff(at)), place] = True
-        total += held.sum(0)
+        for a in range(0, batch.num_rows, TOGETHER):
+            b = min(a + TOGETHER, batch.num_rows)
+            held = np.zeros((b - a, 1 << BITS), bool)
+            held[np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), place[at[a] : at[b]]] = True
+            total += held.sum(0)
         n += batch.num_rows
+        for lang, fold in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            key = (-3 if fold == 1 else -2, lang)
+            sizes[key] = sizes.get(key, 0) + 1
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["place", "n"])
+    kinds = np.append(some, [-1] + [k for k, _ in sizes])
+    langs = [None] * (len(some) + 1) + [lang for _, lang in sizes]
+    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(langs, pa.string()), pa.array(np.append(total[some], [n, *sizes.values()]))], names=["place", "lang", "n"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +160,16 @@ def _fold() -> Column:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and a table (places + 1, languages) of logits, divided by the temperature."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang", _fold().alias("fold"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("lot")).where("fold <> 0")
-    sizes = rows.groupBy("lang").agg(F.sum((F.col("fold") > 1).cast("long")).alias("a"), F.sum((F.col("fold") == 1).cast("long")).alias("b")).where("a > 0").orderBy(F.desc("a"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in sizes)
+    counted = rows.select("text", "lang", F.col("fold").cast("int").alias("fold")).mapInArrow(_holders, "place long, lang string, n long").groupBy("place", "lang").agg(F.sum("n").alias("n")).toPandas()  # places and languages
+    sizes = {k: dict(zip(*(counted.loc[counted["place"] == at, c] for c in ("lang", "n")), strict=True)) for k, at in (("a", -2), ("b", -3))}
+    names = sorted({*sizes["a"], *sizes["b"]})
     if not names:
         return [], np.zeros(((1 << BITS) + 1, 0), np.float32)
-    chosen = F.lit(False)
-    for r in sizes:
-        part = [F.col("lot") < int((1 << 20) * min(1.0, most / max(1, r[c]))) for c, most in (("a", SAMPLE), ("b", CALIBRATE))]
-        chosen = chosen | ((F.col("lang") == r["lang"]) & F.when(F.col("fold") > 1, part[0]).otherwise(part[1]))
-    counted = rows.select("text").mapInArrow(_holders, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    # a language without rows to train on learns from those that calibrate
+    only_b = {x for x in names if x not in sizes["a"]}
+    part = {x: [int((1 << 20) * min(1.0, most / max(1, sizes[k].get(x, 0)))) for k, most in (("a", SAMPLE), ("b", SAMPLE if x in only_b else CALIBRATE))] for x in names}
+    limit = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.array(*map(F.lit, part[x])) for x in names)))
+    chosen = F.col("lot") < F.get(F.element_at(limit, F.col("lang")), F.when(F.col("fold") > 1, 0).otherwise(1))
     total = int(counted.loc[counted["place"] == -1, "n"].iloc[0])
     held = np.zeros(1 << BITS)
     held[counted.loc[counted["place"] >= 0, "place"]] = counted.loc[counted["place"] >= 0, "n"]
@@ -164,8 +177,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     got = rows.where(chosen).select("lang", "text", F.col("fold").cast("int").alias("fold")).mapInArrow(_vectors, "lang string, fold int, place array<int>, share array<float>").collect()
     number = {x: i for i, x in enumerate(names)}
     vectors = sorted(((number[r[0]], r[1], np.array(r[2], np.int64), np.array(r[3]) * idf[np.array(r[2], np.int64)]) for r in got), key=lambda v: (v[0], v[1], len(v[2]), v[2].tolist()[:20], v[3].tolist()[:20]))
-    w = ftrl([(y, at, x) for y, fold, at, x in vectors if fold != 1], len(names))
-    held_back = [(y, x @ w[at] + w[-1]) for y, fold, at, x in vectors if fold == 1]
+    trains = lambda y, fold: fold != 1 or names[y] in only_b
+    w = ftrl([(y, at, x) for y, fold, at, x in vectors if trains(y, fold)], len(names))
+    held_back = [(y, x @ w[at] + w[-1]) for y, fold, at, x in vectors if not trains(y, fold)]
     t = temperature(np.array([v for _, v in held_back]), np.array([y for y, _ in held_back], int)) if held_back else 1.0
     table = np.concatenate([w[:-1] * idf[:, None], w[-1:]]) / t
     return names, table.astype(np.float32)
