@@ -10,7 +10,9 @@ Defined cases: a null or empty text, and one without words, is clean. An item
 without words is never found. Repeated items and windows each count for their
 own item; items without an id count as one, named null. An empty benchmark
 leaves all documents clean. There is one result for each row of the documents,
-also for rows that repeat a doc_id or have none.
+also for rows that repeat a doc_id or have none. Items are listed by their id as
+text, each once (ties). Very long texts are scanned whole. Other columns of both
+tables, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from .store import written
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton (about 60 times as much memory).
-#: A larger benchmark is scanned in blocks of items, one after another.
-BLOCK_BYTES = 2_000_000
+#: A larger benchmark is scanned in blocks of items, one after another, of which
+#: neither the driver nor a task ever holds two.
+BLOCK_BYTES = 4_000_000
 
 _TABLE = bytes(
     c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256)
@@ -103,9 +106,9 @@ def overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     """doc_id, n_words, n_hit, items (sorted), runs: hit runs of words, as word numbers and as character offsets of the original text.
 
     The benchmark is the only thing sent out. Its size is measured first; above
-    block_bytes it is dealt into blocks by item, each with its own automaton and
-    pass over the documents, whose rows are numbered for it, and the hits of a row
-    are merged, so that neither the driver nor a worker holds more than one block.
+    block_bytes it is dealt into blocks by item. Each block is collected, scanned
+    for and forgotten before the next; only rows that it hits are written, by their
+    number, and the hits of a row are merged in the end.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
@@ -115,19 +118,18 @@ def overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
         return narrow.mapInArrow(_scanner([tuple(r) for r in known.collect()], window), RESULT)
     # written, so that a row has the same number in every pass
     narrow = written(spark, narrow.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    parts = []
+    found = []
     for k in range(n):
-        block = known.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        parts.append(narrow.mapInArrow(_scanner([tuple(r) for r in block.collect()], window), f"{RESULT}, row long"))
+        block = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        scanned = narrow.mapInArrow(_scanner([tuple(r) for r in block.collect()], window), f"{RESULT}, row long")
+        found.append(written(spark, scanned.where("n_hit > 0").select("row", "items", "runs"), "hits"))
     runs = F.array_sort(F.flatten(F.collect_list("runs")))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     add = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(a["end"], x["first"]))).alias("n"), F.greatest(a["end"], x["last"]).alias("end"))
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("runs"))
-        .select("doc_id", "n_words", F.aggregate("runs", start, add)["n"].alias("n_hit"), "items", "runs")
-    )
+    merged = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("runs"))
+    merged = merged.select("row", F.aggregate("runs", start, add)["n"].alias("n_hit"), "items", "runs")
+    counted = narrow.mapInArrow(_scanner([], window), f"{RESULT}, row long").select("row", "doc_id", "n_words", F.col("items").alias("none"), F.col("runs").alias("no_runs"))
+    return counted.join(merged, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", "none").alias("items"), F.coalesce("runs", "no_runs").alias("runs"))
 
 
 def _scanner(items: list[tuple[str | None, str | None]], window: int):
