@@ -292,26 +292,30 @@ def next_frontier(extracted: DataFrame, seen: DataFrame) -> DataFrame:
     return links.groupBy("id").agg(F.min("url").alias("url")).join(seen, "id", "left_anti").select("url", "id")
 
 
-def crawl(spark: SparkSession, fetch: Callable[[DataFrame], DataFrame], frontier: DataFrame, threshold: int, checkpoint: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """Records of the titles reached from the frontier, until `threshold` pages were asked for.
+def crawl(spark: SparkSession, fetch: Callable[[DataFrame], DataFrame], frontier: DataFrame, threshold: int, checkpoint: Callable[[DataFrame, int], DataFrame], seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records of the titles reached from the frontier(url, id), until `threshold` pages were asked for, and the frontier that is left.
 
     fetch turns frontier(url, id) into pages(url, html, ...): pages that can't be
     had are left out, but count. checkpoint(df, round) writes a round's table and
-    gives it back, so that no round's lineage reaches into the one before.
+    gives it back, so that no round's lineage reaches into the one before. seen(id)
+    are the titles of an earlier crawl, those of its frontier among them.
     """
-    seen, out, asked, turn = frontier.select("id"), None, 0, 0
+    out, asked, turn = None, 0, 0
+    left = checkpoint(frontier.select("url", "id"), turn)
+    seen = checkpoint((left.select("id") if seen is None else seen.select("id").unionByName(left.select("id"))).distinct(), turn + 1)
+    turn += 2
     while asked < threshold:
-        frontier = checkpoint(frontier.orderBy("id").limit(threshold - asked), turn)
-        n = frontier.count()
+        taken = checkpoint(left.orderBy("id").limit(threshold - asked), turn)
+        n = taken.count()
         if not n:
             break
-        got = checkpoint(records(fetch(frontier)), turn + 1)
+        got = checkpoint(records(fetch(taken)), turn + 1)
         out = got if out is None else out.unionByName(got)
-        asked, turn = asked + n, turn + 2
-        frontier = next_frontier(got, seen)
-        seen = checkpoint(seen.unionByName(frontier.select("id")), turn)
-        turn += 1
-    return out if out is not None else spark.createDataFrame([], RECORD)
+        found = checkpoint(next_frontier(got, seen), turn + 2)
+        left = checkpoint(left.join(taken.select("id"), "id", "left_anti").select("url", "id").unionByName(found), turn + 3)
+        seen = checkpoint(seen.unionByName(found.select("id")), turn + 4)
+        asked, turn = asked + n, turn + 5
+    return out if out is not None else spark.createDataFrame([], RECORD), left
 
 
 def page_fields(pages: DataFrame) -> DataFrame:

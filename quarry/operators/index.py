@@ -1,6 +1,6 @@
 """Analysis and the positional index, as DataFrame tables.
 
-tokens(doc_id, doc_seq, doc_len, field, field_seq, pos, term) -> postings, terms, doc_stats, meta.
+tokens(doc_id, doc_seq, doc_len, field, field_seq, pos, term) -> postings, and from these, once stored, terms, doc_stats, meta.
 A document's length is known while its row is analysed; postings carry it, so
 that scoring needs no join.
 """
@@ -48,47 +48,23 @@ def postings(long: DataFrame) -> DataFrame:
     return long.groupBy(keys).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def terms(posted: DataFrame) -> DataFrame:
-    """df counts (document, field) pairs."""
-    return posted.groupBy("term").agg(F.count("*").alias("df"))
+def occurrences(posted: DataFrame) -> DataFrame:
+    """postings with one row a position: the tokens again."""
+    return posted.select("*", F.explode("positions").alias("pos"))
 
 
-def doc_stats(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+def field_distribution(doc_stats: DataFrame) -> DataFrame:
+    """Documents with each field."""
+    return doc_stats.select(F.explode("fields").alias("field")).groupBy("field").agg(F.count("*").alias("docs"))
 
 
-def scalars(analysed: DataFrame) -> DataFrame:
-    """One row: n, the documents, and avg_dl, 1.0 if there are none."""
-    own = F.when(F.col("doc_len") > 0, F.col("doc_len"))
-    return analysed.agg(F.count(own).alias("n"), F.coalesce(F.avg(own), F.lit(1.0)).alias("avg_dl"))
+def token_lengths(terms: DataFrame) -> DataFrame:
+    return terms.groupBy(F.length("term").alias("token_length")).agg(F.sum("occurrences").alias("occurrences"))
 
 
-def field_distribution(long: DataFrame) -> DataFrame:
-    return long.groupBy("field").agg(F.countDistinct("doc_id").alias("docs"))
-
-
-def token_lengths(long: DataFrame) -> DataFrame:
-    return long.groupBy(F.length("term").alias("token_length")).agg(F.count("*").alias("occurrences"))
-
-
-def meta(analysed: DataFrame) -> DataFrame:
-    """One row of index metadata."""
-    long = tokens_long(analysed)
-    as_map = lambda df, k, v: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k), F.col(v))))).alias(v))
-    counts = long.groupBy("term").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_tokens"))
-    fields = as_map(field_distribution(long), "field", "docs").withColumnRenamed("docs", "field_distribution")
-    lengths = as_map(token_lengths(long).withColumn("token_length", F.col("token_length").cast("string")), "token_length", "occurrences").withColumnRenamed("occurrences", "token_length_distribution")
-    # four one-row tables
-    return (
-        scalars(analysed).withColumnRenamed("n", "total_documents").crossJoin(counts).crossJoin(fields).crossJoin(lengths)
-        .withColumns({"indexed_fields": F.array(*map(F.lit, FIELDS)), "index_date": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")})
-    )
-
-
-def build(records: DataFrame, unique_ids: bool = False) -> dict[str, DataFrame]:
-    analysed = field_tokens(records, unique_ids)
-    posted = postings(tokens_long(analysed))
-    return {"postings": posted, "terms": terms(posted), "doc_stats": doc_stats(posted), "meta": meta(analysed)}
+def build(records: DataFrame, unique_ids: bool = False) -> DataFrame:
+    """The postings of records, from which write_index derives all tables."""
+    return postings(tokens_long(field_tokens(records, unique_ids)))
 
 
 def df_summary(term_df: DataFrame) -> DataFrame:
@@ -107,16 +83,24 @@ def df_summary(term_df: DataFrame) -> DataFrame:
     )
 
 
-def top_tokens(long: DataFrame, k: int = 10) -> DataFrame:
-    """The commonest terms; of equal ones the one that occurs first."""
-    first = F.min(F.struct("doc_seq", "field_seq", "pos")).alias("first")
-    return long.groupBy("term").agg(F.count("*").alias("freq"), first).orderBy(F.desc("freq"), "first").limit(k).select("term", "freq")
+def top_tokens(index: dict[str, DataFrame], k: int = 10) -> DataFrame:
+    """The commonest terms; of equal ones the one that occurs first.
+
+    Only terms as frequent as the k-th are looked up in the postings; the k-th
+    count comes from the counts, whose number is bounded by the distinct ones.
+    """
+    counts = index["terms"].groupBy("occurrences").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(F.desc("occurrences"))))
+    least = upto.where(F.col("upto") - F.col("c") < k).agg(F.min("occurrences").alias("least"))
+    often = index["terms"].join(F.broadcast(least), F.col("occurrences") >= F.col("least")).select("term", F.col("occurrences").alias("freq"))
+    first = F.min(F.struct("doc_seq", "field_seq", F.get("positions", F.lit(0)).alias("pos"))).alias("first")
+    return index["postings"].join(often, "term").groupBy("term", "freq").agg(first).orderBy(F.desc("freq"), "first").limit(k).select("term", "freq")
 
 
-def coverage(long: DataFrame, records: DataFrame) -> DataFrame:
+def coverage(doc_stats: DataFrame, records: DataFrame) -> DataFrame:
     """Documents with each field, and their percentage of all raw records."""
     total = records.agg(F.count("*").alias("total"))
-    return field_distribution(long).crossJoin(total).select("field", "docs", F.coalesce(F.try_divide(F.col("docs") * 100.0, "total"), F.lit(0.0)).alias("percent"))
+    return field_distribution(doc_stats).crossJoin(total).select("field", "docs", F.coalesce(F.try_divide(F.col("docs") * 100.0, "total"), F.lit(0.0)).alias("percent"))
 
 
 def integrity(analysed: DataFrame, posted: DataFrame, term_df: DataFrame) -> DataFrame:
@@ -127,11 +111,24 @@ def integrity(analysed: DataFrame, posted: DataFrame, term_df: DataFrame) -> Dat
     return missing.crossJoin(wrong)
 
 
-def report(records: DataFrame, analysed: DataFrame) -> DataFrame:
+def processed_violations(analysed: DataFrame) -> DataFrame:
+    """(doc_id, rule) of processed documents of the wrong shape: no id, unknown or repeated field, an empty or blank token, a length that isn't the tokens' number."""
+    names = F.transform("fields", lambda x: x["field"])
+    tokens = F.flatten(F.transform("fields", lambda x: x["tokens"]))
+    rules = {
+        "no id": F.coalesce(F.col("doc_id") == "", F.lit(True)),
+        "unknown field": F.size(F.array_except(names, F.array(*map(F.lit, FIELDS)))) > 0,
+        "repeated field": F.size(F.array_distinct(names)) < F.size(names),
+        "blank token": F.exists(tokens, lambda t: F.coalesce(F.trim(t) == "", F.lit(True))),
+        "length": F.col("doc_len") != F.size(tokens),
+    }
+    found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
+    return analysed.select("doc_id", F.explode(found).alias("rule"))
+
+
+def report(records: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """One row of the preprocessing report's figures; 0 where there is nothing to divide by."""
-    long = tokens_long(analysed)
-    counts = long.groupBy("term").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_tokens"))
-    both = records.agg(F.count("*").alias("raw")).crossJoin(scalars(analysed).select(F.col("n").alias("processed"))).crossJoin(counts)
+    both = records.agg(F.count("*").alias("raw")).crossJoin(index["meta"].select(F.col("total_documents").alias("processed"), "total_tokens", "unique_tokens"))
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return both.select("raw", "processed", rate(F.col("processed") * 100.0, F.col("raw")).alias("success_percent"), "total_tokens", "unique_tokens", rate(F.col("total_tokens") * 1.0, F.col("processed")).alias("tokens_per_doc"))
 

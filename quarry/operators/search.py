@@ -43,7 +43,7 @@ def contributions(index: dict[str, DataFrame], weights: dict[str, float], query:
     wanted = sorted(set(query))
     places = F.array(*map(F.lit, query)) if query else F.array().cast("array<string>")
     posted = index["postings"].where(F.col("term").isin(wanted) if wanted else F.lit(False))
-    df = index["terms"].where(F.col("term").isin(wanted) if wanted else F.lit(False))
+    df = index["terms"].where(F.col("term").isin(wanted) if wanted else F.lit(False)).select("term", "df")
     # df has a row for each query term and meta has one: small by construction
     rows = posted.join(F.broadcast(df), "term").crossJoin(F.broadcast(index["meta"].select(F.col("total_documents").alias("n"), "avg_dl")))
     rows = rows.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(max(len(query), 1) - 1)), lambda i: F.get(places, i) == F.col("term"))).alias("qpos"))
@@ -68,22 +68,33 @@ def _has_all(names: Column, words: Column) -> Column:
 
 
 def _gaps(places: Column, words: Column) -> Column:
-    """struct(total, pairs) of p2 - p1 - 1 over all later positions of each next word."""
+    """struct(total, pairs) of p2 - p1 - 1 over all later positions of each next word, by one walk over both words' positions."""
     steps = F.sequence(F.lit(0), F.size(words) - 2)
+    at = lambda w, kind: F.transform(F.element_at(places, w), lambda p: F.struct(p.alias("p"), F.lit(kind).alias("kind")))
 
     def pair(acc: Column, i: Column) -> Column:
-        later = F.element_at(places, F.get(words, i + 1))
-        each = F.transform(F.element_at(places, F.get(words, i)), lambda p: F.filter(later, lambda q: q > p).alias("x"))
-        gaps = F.flatten(F.transform(F.arrays_zip(F.element_at(places, F.get(words, i)).alias("p"), each.alias("qs")), lambda z: F.transform(z["qs"], lambda q: q - z["p"] - 1)))
-        return F.struct((acc["total"] + F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + g)).alias("total"), (acc["pairs"] + F.size(gaps)).alias("pairs"))
+        # of equal positions the next word's is first, as it must be later
+        walk = F.array_sort(F.concat(at(F.get(words, i), 1), at(F.get(words, i + 1), 0)))
+
+        def seen(a: Column, x: Column) -> Column:
+            first = x["kind"] == 1
+            return F.struct(
+                F.when(first, a["total"]).otherwise(a["total"] + a["n"] * (x["p"] - 1) - a["sum"]).alias("total"),
+                F.when(first, a["pairs"]).otherwise(a["pairs"] + a["n"]).alias("pairs"),
+                F.when(first, a["n"] + 1).otherwise(a["n"]).alias("n"),
+                F.when(first, a["sum"] + x["p"]).otherwise(a["sum"]).alias("sum"),
+            )
+
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(walk, F.struct(acc["total"].alias("total"), acc["pairs"].alias("pairs"), zero.alias("n"), zero.alias("sum")), seen, lambda a: F.struct(a["total"].alias("total"), a["pairs"].alias("pairs")))
 
     return F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("pairs")), pair)
 
 
 def flexible(places: Column, words: Column, most: int = MAX_GAP, exact: bool = False) -> Column:
     """Whether the words can be found in order, each at most `most` places (exactly one, if exact) after the one before."""
-    near = (lambda q, p: q == p + 1) if exact else (lambda q, p: (q > p) & (q - p <= most))
-    step = lambda at, i: F.filter(F.element_at(places, F.get(words, i)), lambda q: F.exists(at, lambda p: near(q, p)))
+    after = lambda at: F.flatten(F.transform(at, lambda p: F.sequence(p + 1, p + (1 if exact else most))))
+    step = lambda at, i: F.array_intersect(F.element_at(places, F.get(words, i)), after(at))
     return F.size(F.aggregate(F.sequence(F.lit(1), F.size(words) - 1), F.element_at(places, F.get(words, F.lit(0))), step)) > 0
 
 
@@ -127,16 +138,27 @@ def search(spark: SparkSession, index: dict[str, DataFrame], weights: dict[str,
     return top(boosted(scored(contributions(index, weights, query, k1, b)), query, boost), k)
 
 
-def batch_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """Unboosted hits of many queries(query_id, weights map, terms array) at once: query_id, doc_id, doc_seq, score, rank."""
+#: Distinct terms of a batch that are sent as literals, so that only their row groups are read; more are joined.
+LITERALS = 5000
+
+
+def batch_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
+    """Unboosted hits of many queries(query_id, weights map, terms array) at once: query_id, doc_id, doc_seq, score (rounded, if digits are given), rank."""
     asked = queries.select("query_id", "weights", F.posexplode("terms").alias("qpos", "term"))
-    rows = asked.join(index["postings"], "term").join(index["terms"], "term").crossJoin(F.broadcast(index["meta"].select(F.col("total_documents").alias("n"), "avg_dl")))
+    posted, terms = index["postings"], index["terms"].select("term", "df")
+    wanted = [r[0] for r in asked.select("term").distinct().limit(LITERALS + 1).collect()]
+    if len(wanted) <= LITERALS:
+        some = F.col("term").isin(wanted) if wanted else F.lit(False)
+        posted, terms = posted.where(some), F.broadcast(terms.where(some))
+    rows = asked.join(terms, "term").join(posted, "term").crossJoin(F.broadcast(index["meta"].select(F.col("total_documents").alias("n"), "avg_dl")))
     given = F.coalesce(F.try_element_at("weights", "field"), F.lit(1.0))
     weight = F.when(given <= 0, 0.01).otherwise(given)
     rows = rows.withColumn("score", weight * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_dl"), k1, b))
     parts = F.array_sort(F.collect_list(F.struct("qpos", "field_seq", "score")))
     docs = rows.groupBy("query_id", "doc_id", "doc_seq").agg(parts.alias("parts"))
-    docs = docs.select("query_id", "doc_id", "doc_seq", _added(F.col("parts")).alias("score"), F.get("parts", F.lit(0))["qpos"].alias("first_qpos"))
+    total = _added(F.col("parts")) if digits is None else F.round(_added(F.col("parts")), digits)
+    docs = docs.select("query_id", "doc_id", "doc_seq", total.alias("score"), F.get("parts", F.lit(0))["qpos"].alias("first_qpos"))
+    # the limit on the rank reaches below the exchange: each task sends its k best of a query
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_qpos", "doc_seq")
     return docs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("first_qpos")
 

@@ -6,17 +6,15 @@ variant: absent, null, or of a type that schema_of_variant names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.records import json_is_list, json_items
+from ..sources.records import LIST_FIELDS, TEXT_FIELDS, json_is_list, json_items
 
 # Fixed values.
-TEXT_FIELDS = "id title first_page_summary release_year mpaa budget gross_worldwide rating".split()
-LIST_FIELDS = "directors writers stars related_links genres languages countries_of_origin summaries synopsis".split()
 CHECKED_LISTS = "directors writers stars genres languages countries_of_origin summaries synopsis".split()
 ID = r"(?U)^tt\d{7,8}$"
 URL_ID = r"(?U)/title/(tt\d{7,8})/"
@@ -197,14 +195,34 @@ def summary(found: DataFrame, shown: int = 10) -> tuple[int, int, list[str], lis
     return counts.get(ERROR, 0) + (counts.get("unique", 0) > 0), counts.get(WARNING, 0), first(ERROR), first(WARNING)
 
 
-def validate(spark: SparkSession, path: str, min_count: int = 5, fail_on_warning: bool = False) -> int:
-    """0 passed, 1 errors, 2 warnings where they count as failures."""
-    if not json_is_list(spark, path):
-        return 1
-    items = json_items(spark, path).persist()
-    errors, warnings, _, _ = summary(findings(items))
-    errors += items.count() < min_count
-    items.unpersist()
-    return 1 if errors else 2 if fail_on_warning and warnings else 0
+def placeholders(found: DataFrame) -> DataFrame:
+    return by_field(found, COUNTED)
+
 
+def report(found: DataFrame, total: int, too_few: str = "") -> tuple[int, int, list[str]]:
+    """(errors, warnings, lines of the report). The fields are eighteen; of errors and warnings the first ten are shown."""
+    errors, warnings, first_errors, first_warnings = summary(found)
+    if too_few:
+        errors, first_errors = errors + 1, [too_few, *first_errors][:10]
+    out = [f"Records: {total}", f"Errors: {errors} | Warnings: {warnings}"]
+    for title, counts in (("Missing fields", by_field(found)), ("Placeholders", placeholders(found))):
+        rows = counts.collect()
+        out += [f"{title}:", *(f"  - {r['field']}: {r['n']}" for r in rows)] if rows else []
+    out += ["First errors:", *(f"  * {x}" for x in first_errors)] if first_errors else []
+    out += ["First warnings:", *(f"  - {x}" for x in first_warnings)] if first_warnings else []
+    return errors, warnings, out
 
+
+def validate(spark: SparkSession, path: str, min_count: int = 5, fail_on_warning: bool = False, say: Callable[[str], None] = print) -> int:
+    """0 passed, 1 errors, 2 warnings where they count as failures; the report is printed."""
+    if not json_is_list(spark, path):
+        say("Records: 0\nErrors: 1 | Warnings: 0\nFirst errors:\n  * the top level is not a list\nFAILED")
+        return 1
+    items = json_items(spark, path)
+    total = items.count()
+    found = findings(items).persist()  # read for each part of the report
+    errors, warnings, lines = report(found, total, f"{total} records, {min_count} expected" if total < min_count else "")
+    found.unpersist()
+    code = 1 if errors else 2 if fail_on_warning and warnings else 0
+    say("\n".join([*lines, ("PASSED", "FAILED", "FAILED (warnings count)")[code]]))
+    return code

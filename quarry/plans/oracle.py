@@ -80,8 +80,8 @@ fit AS (SELECT DISTINCT phrase, doc_id FROM s2 JOIN size USING (phrase) WHERE n
 
 def _batch() -> tuple[str, str]:
     parts = ", ".join(_contributions(f"con{i}", q) for i, q in BATCH.items())
-    union = " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id, doc_seq, round(sum(score), 6) AS score FROM con{i} GROUP BY doc_id, doc_seq" for i in BATCH)
-    return parts, f"SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_seq) AS rank FROM ({union})) WHERE rank <= 10"
+    union = " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id, doc_seq, min(qpos) AS fq, round(sum(score), 6) AS score FROM con{i} GROUP BY doc_id, doc_seq" for i in BATCH)
+    return parts, f"SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fq, doc_seq) AS rank FROM ({union})) WHERE rank <= 10"
 
 
 _ES = "(" + "|".join(ES_ENDINGS) + ")$"
@@ -157,6 +157,8 @@ def oracle_sql() -> dict[str, str]:
     grams = ", ".join(f"({i}, {_s(' '.join(p))}, {len(p)})" for i, p in enumerate(ngrams(parse(PHRASE)[1])))
     page = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
     return {
+        "index_build": f"{w} SELECT (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM tok) AS tokens, (SELECT count(*) FROM tdf) AS terms, (SELECT count(*) FROM dl) AS documents",
+        "processed_checks": f"{w} SELECT (SELECT count(*) FROM tok WHERE trim(term) = '') + (SELECT count(*) FROM (SELECT 1 FROM wrd WHERE len(toks) > 0 GROUP BY doc_id, field HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT doc_id, sum(len(toks)) AS n FROM wrd GROUP BY doc_id) x JOIN dl USING (doc_id) WHERE n <> doc_len) AS violations, count(DISTINCT doc_id) FILTER (len(toks) > 0) AS documents FROM wrd",
         "clean_text": f"{w} SELECT doc_id, field, cleaned FROM cln WHERE cleaned <> ''",
         "tokens_long": f"{w} SELECT doc_id, field, CAST(pos AS INTEGER) AS pos, term FROM tok",
         "postings": f"{w} SELECT term, doc_id, field, CAST(tf AS INTEGER) AS tf, array_to_string(positions, ' ') AS positions FROM post",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.query import ngrams, parse, plural_base, plural_class, variants
 from ..functions.text import FIELDS, clean, flattened, has_placeholder
 from ..operators import correct, evaluate, extract, index, search, validate
-from ..sources.records import from_documents
+from ..sources.records import from_documents, write_index
+from ..sources.stored import forget, stored_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,15 +34,21 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.field_tokens(_records(spark, sf_dir), unique_ids=True)
 
 
-def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.tokens_long(_analysed(spark, sf_dir))
+def _write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    write_index(index.build(_records(spark, sf_dir), unique_ids=True), path)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables a search needs; a stored index has the same ones."""
-    analysed = _analysed(spark, sf_dir)
-    posted = index.postings(index.tokens_long(analysed))
-    return {"postings": posted, "terms": index.terms(posted), "doc_stats": index.doc_stats(posted), "meta": index.scalars(analysed).withColumnRenamed("n", "total_documents")}
+    """The stored index of the documents, built where this application has none of them."""
+    return stored_index(spark, f"{sf_dir}/documents.parquet", lambda s, path: _write(s, sf_dir, path))
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the index anew and gives its rows: all analysis and all tables are in this query's time."""
+    forget(spark, f"{sf_dir}/documents.parquet")
+    tables = _index(spark, sf_dir)
+    rows = tables["postings"].agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return rows.crossJoin(tables["terms"].agg(F.count("*").alias("terms"))).crossJoin(tables["doc_stats"].agg(F.count("*").alias("documents")))  # one row each
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +60,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(spark, sf_dir).select("doc_id", "field", "pos", "term")
+    return index.occurrences(_index(spark, sf_dir)["postings"]).select("doc_id", "field", "pos", "term")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,23 +68,23 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)["terms"]
+    return _index(spark, sf_dir)["terms"].select("term", "df")
 
 
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)["doc_stats"]
+    return _index(spark, sf_dir)["doc_stats"].select("doc_id", "doc_len")
 
 
 def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.meta(_analysed(spark, sf_dir)).select("total_documents", "total_tokens", "unique_tokens", F.round("avg_dl", 6).alias("avg_dl"), F.size("field_distribution").alias("n_fields"), F.size("token_length_distribution").alias("n_lengths"))
+    return _index(spark, sf_dir)["meta"].select("total_documents", "total_tokens", "unique_tokens", F.round("avg_dl", 6).alias("avg_dl"), F.size("field_distribution").alias("n_fields"), F.size("token_length_distribution").alias("n_lengths"))
 
 
 def field_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.field_distribution(_long(spark, sf_dir))
+    return index.field_distribution(_index(spark, sf_dir)["doc_stats"])
 
 
 def token_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.token_lengths(_long(spark, sf_dir))
+    return index.token_lengths(_index(spark, sf_dir)["terms"])
 
 
 def _ranked(docs: DataFrame, score: str, k: int) -> DataFrame:
@@ -102,10 +109,7 @@ def bm25_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(i, *parse(q)) for i, q in BATCH.items()]
     queries = spark.createDataFrame(rows, "query_id int, weights map<string,double>, terms array<string>")
-    hits = search.batch_search(_index(spark, sf_dir), queries, 1 << 30)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_seq")
-    hits = hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    return hits.select("query_id", "doc_id", "score", "rank")
+    return search.batch_search(_index(spark, sf_dir), queries, 10, digits=6).select("query_id", "doc_id", "score", "rank")
 
 
 def query_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,21 +176,27 @@ def df_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.top_tokens(_long(spark, sf_dir), 10)
+    return index.top_tokens(_index(spark, sf_dir), 10)
 
 
 def index_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _index(spark, sf_dir)
+    return index.integrity(_analysed(spark, sf_dir), tables["postings"], tables["terms"])
+
+
+def processed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed documents, and how many break a rule of their shape."""
     analysed = _analysed(spark, sf_dir)
-    posted = index.postings(index.tokens_long(analysed))
-    return index.integrity(analysed, posted, index.terms(posted))
+    broken = index.processed_violations(analysed).agg(F.count("*").alias("violations"))
+    return analysed.where("doc_len > 0").agg(F.count("*").alias("documents")).crossJoin(broken)  # one row each
 
 
 def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.coverage(_long(spark, sf_dir), _records(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+    return index.coverage(_index(spark, sf_dir)["doc_stats"], _records(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
 
 
 def preprocess_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = index.report(_records(spark, sf_dir), _analysed(spark, sf_dir))
+    got = index.report(_records(spark, sf_dir), _index(spark, sf_dir))
     return got.withColumns({c: F.round(c, 6) for c in ("success_percent", "tokens_per_doc")})
 
 
@@ -249,9 +259,9 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    clean_text, tokens_long, postings, term_df, doc_lengths, index_meta, field_distribution, token_length_hist,
+    index_build, clean_text, tokens_long, postings, term_df, doc_lengths, index_meta, field_distribution, token_length_hist,
     bm25_topk, bm25_detail, bm25_batch_topk, query_ngrams, phrase_stats, phrase_boosted_topk, explain_doc,
-    eval_metrics, eval_pass, plural_forms, spell_candidates, spell_best, df_summary, top_tokens, index_integrity,
+    eval_metrics, eval_pass, plural_forms, spell_candidates, spell_best, df_summary, top_tokens, index_integrity, processed_checks,
     field_coverage, preprocess_report, posting_samples, findings, findings_by_field, duplicate_ids,
     page_extract, link_frontier, sub_pages, page_records,
 ]

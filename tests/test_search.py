@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.query import clamped, effective, ngrams, parse, parse_valid, plural_base, plural_class, valid_weights
 from quarry.functions.text import clean, tokens
 from quarry.operators import correct, evaluate, extract, index, search, validate
+from quarry.plans import jobs
 from quarry.sources import records as R
 
 GOLDENS = [
@@ -62,10 +63,12 @@ ROWS = [
 
 
 @pytest.fixture(scope="module")
-def built(spark):
+def built(spark, tmp_path_factory):
     records = spark.createDataFrame(ROWS, "id string, seq bigint, title string, summaries array<string>, genres array<string>, stars array<string>")
     analysed = index.field_tokens(records).cache()
-    return analysed, index.build(records)
+    path = str(tmp_path_factory.mktemp("index"))
+    R.write_index(index.build(records), path)
+    return analysed, R.read_index(spark, path)
 
 
 def test_index(built):
@@ -201,18 +204,84 @@ def test_validation(spark, tmp_path):
 def test_exit_codes(spark, tmp_path, data, args, code):
     path = tmp_path / "v.json"
     path.write_text(json.dumps(data))
-    assert validate.validate(spark, str(path), **args) == code
+    said = []
+    assert validate.validate(spark, str(path), **args, say=said.append) == code
+    assert ("PASSED" if code == 0 else "FAILED") in said[0] and f"Records: {len(data) if isinstance(data, list) else 0}" in said[0]
 
 
 def test_index_files(spark, built, tmp_path):
     _, tables = built
-    R.write_index(tables, str(tmp_path / "i"))
-    again = R.read_index(spark, str(tmp_path / "i"))
-    assert sorted(r["term"] for r in again["terms"].collect()) == sorted(r["term"] for r in tables["terms"].collect())
-    assert [r["doc_id"] for r in search.search(spark, again, *parse("star war"), 2).collect()]
     assert R.read_vocabulary(spark, str(tmp_path / "none")).count() == 0
-    R.write_index_json_lines(tables, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).count() == again["terms"].count()
+    R.write_index_json(tables, str(tmp_path / "j"))
+    columns = ["term", "doc_id", "field", "tf", "positions"]
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select(columns).collect())
+    assert rows(R.read_index_json(spark, str(tmp_path / "j"))) == rows(tables["postings"])
+    again = R.read_index_json_metadata(spark, str(tmp_path / "j")).first()
+    assert again["total_documents"] == 3 and again["field_distribution"] == tables["meta"].first()["field_distribution"]
+    parts = R.index_entries(tables, chunk=1)
+    assert parts.count() == tables["postings"].count() and parts.where("size(postings) > 1").isEmpty()
+    # the form of one object over many lines
+    entries = {"star": {"df": 1, "postings": [{"doc_id": "a", "tf": 1, "positions": [4], "field": "title"}]}}
+    (tmp_path / "one.json").write_text(json.dumps({"metadata": {"total_documents": 1}, "index": entries}, indent=2))
+    assert rows(R.read_index_json(spark, str(tmp_path / "one.json"))) == [("star", "a", "title", "1", "[4]")]
+    (tmp_path / "bad.json").write_text("[1, 2")
+    with pytest.raises(ValueError):
+        R.read_index_json(spark, str(tmp_path / "bad.json"))
+    with pytest.raises(Exception):  # noqa: B017
+        R.read_index_json(spark, str(tmp_path / "absent.json")).count()
+
+
+def test_empty_index(spark, built, tmp_path):
+    analysed, _ = built
+    R.write_index(index.postings(index.tokens_long(analysed.limit(0))), str(tmp_path / "e"))
+    tables = R.read_index(spark, str(tmp_path / "e"))
+    assert tables["meta"].select("total_documents", "avg_dl", "total_tokens").first()[:] == (0, 1.0, 0)
+    assert search.search(spark, tables, *parse("star war"), 2).count() == 0
+    R.write_index_json(tables, str(tmp_path / "ej"))
+    assert R.read_index_json(spark, str(tmp_path / "ej")).count() == 0
+
+
+def test_tokens_file(spark, built, tmp_path):
+    analysed, _ = built
+    R.write_tokens_json(analysed, str(tmp_path / "t"))
+    got = {(r["doc_id"], r["field"]): r["tokens"] for r in R.read_tokens_json(spark, str(tmp_path / "t")).collect()}
+    assert got["d2", "summaries"][:2] == ["trek", "star"] and {d for d, _ in got} == {"d1", "d2", "d3"}
+    assert index.processed_violations(analysed).isEmpty()
+    broken = spark.createDataFrame([("", 0, 3, [("title", 0, ["a", " "]), ("title", 0, []), ("x", 0, [])])], "doc_id string, doc_seq bigint, doc_len bigint, fields array<struct<field:string,field_seq:int,tokens:array<string>>>")
+    assert {r["rule"] for r in index.processed_violations(broken).collect()} == {"no id", "unknown field", "repeated field", "blank token", "length"}
+
+
+def test_phrases_against_all_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(40):
+        places = {w: sorted({r.randrange(40) for _ in range(r.randint(1, 15))}) for w in "abc"}
+        gaps = [q - p - 1 for x, y in ("ab", "bc", "ca") for p in places[x] for q in places[y] if q > p]
+        fits = {}
+        for most in (1, 3):
+            at = places["a"]
+            for w in "bca":
+                at = [q for q in places[w] if any(0 < q - p <= most for p in at)]
+            fits[most] = bool(at)
+        rows.append((i, places, sum(gaps), len(gaps), fits[3], fits[1]))
+    df = spark.createDataFrame(rows, "i int, places map<string,array<int>>, total bigint, pairs bigint, near boolean, next boolean")
+    words = F.array(*map(F.lit, "abca"))
+    got = df.select("*", search._gaps(F.col("places"), words).alias("g"), search.flexible(F.col("places"), words).alias("f"), search.flexible(F.col("places"), words, exact=True).alias("e"))
+    for x in got.collect():
+        assert (x["g"]["total"], x["g"]["pairs"], x["f"], x["e"]) == (x["total"], x["pairs"], x["near"], x["next"])
+
+
+def test_batch_equals_single(spark, built):
+    _, tables = built
+    asked = ["star war", "title:3 star star trek", "crime drama"]
+    queries = spark.createDataFrame([(i, *parse(q)) for i, q in enumerate(asked)], "query_id int, weights map<string,double>, terms array<string>")
+    got = {(x["query_id"], x["rank"]): (x["doc_id"], x["score"]) for x in search.batch_search(tables, queries, 2).collect()}
+    for i, q in enumerate(asked):
+        weights, terms = parse(q)
+        for x in search.top(search.scored(search.contributions(tables, weights, terms)).withColumn("score", F.col("base")), 2).collect():
+            assert got[i, x["rank"]] == (x["doc_id"], pytest.approx(x["score"]))
 
 
 PAGE = """<html><body><h1> The Film </h1><span data-testid="plot-xl">A plot.</span>
@@ -249,5 +318,13 @@ def test_crawl(spark, tmp_path):
     keep = lambda df, turn: df.write.parquet(str(tmp_path / str(turn))) or spark.read.schema(df.schema).parquet(str(tmp_path / str(turn)))
     chart = spark.createDataFrame([('<li class="ipc-metadata-list-summary-item"><a href="/title/t0/?r">a</a></li>' * 2,)], "html string")
     frontier = extract.seeds(chart)
-    got = extract.crawl(spark, lambda f: f.join(site, "id").select("url", "html"), frontier, 10, keep)
-    assert sorted(r["id"] for r in got.collect()) == ["t0", "t1", "t2", "t3", "t4"]
+    fetch = lambda f: f.join(site, "id").select("url", "html")
+    got, left = extract.crawl(spark, fetch, frontier, 10, keep)
+    assert sorted(r["id"] for r in got.collect()) == ["t0", "t1", "t2", "t3", "t4"] and left.isEmpty()
+    # stopped and taken up again
+    target = str(tmp_path / "crawl")
+    assert jobs.crawl(spark, target, 2, fetch, chart) == 2
+    assert {r["id"] for r in R.read_json(spark, f"{target}/remaining", jobs.FRONTIER).collect()} == {"t2", "t3"}
+    assert jobs.crawl(spark, target, 2, fetch) == 4 and jobs.crawl(spark, target, 50, fetch) == 5
+    assert jobs.load(spark, target).count() == 5 and R.read_json(spark, f"{target}/remaining", jobs.FRONTIER).isEmpty()
+    assert jobs.crawl_or_load(spark, target, 5) == "" and "expected" in jobs.crawl_or_load(spark, target, 6) and "not found" in jobs.crawl_or_load(spark, str(tmp_path / "x.json"), 1)

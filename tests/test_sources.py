@@ -75,6 +75,30 @@ def test_jobs(spark, tmp_path):
     assert got["mrr"] == 1.0 and got["precision_at_5"] == pytest.approx(0.2) and got["recall_at_5"] == pytest.approx(0.75) and got["n_queries"] == 2
 
 
+def test_grading(spark, tmp_path):
+    source = str(tmp_path / "r.json")
+    (tmp_path / "r.json").write_text(json.dumps(RECORDS))
+    said = []
+    judged = [("star trek", ["tt0000001"]), ("quiet", ["tt0000003"])]
+    assert jobs.grade_all(spark, source, str(tmp_path / "w"), judged, min_count=4, say=said.append)
+    assert said[-1] == "PASS" and sum(x.startswith("ok") for x in said) == 5 and not jobs.preprocess(spark, source, str(tmp_path / "w/tokens"))
+    assert not jobs.grade_all(spark, source, str(tmp_path / "w"), [("star", ["none"])], min_count=5, say=said.append)
+    assert said[-1] == "FAIL" and any("4 records, 5 expected" in x for x in said) and any("neither" in x for x in said)
+    assert not jobs.grade_all(spark, str(tmp_path / "none.json"), str(tmp_path / "v"), [], say=said.append)  # each stage fails on its own
+
+
+def test_commands(spark, tmp_path, capsys):
+    source, target = str(tmp_path / "r.json"), str(tmp_path / "i")
+    (tmp_path / "r.json").write_text(json.dumps(RECORDS))
+    (tmp_path / "judged.json").write_text(json.dumps([["star trek", ["tt0000001"]]]))
+    assert jobs.main(["build", source, target]) == 0 and jobs.main(["preprocess", source, str(tmp_path / "t")]) == 0
+    assert jobs.main(["search", target, "star trek", "--k", "2"]) == 0 and "tt0000001" in capsys.readouterr().out
+    assert jobs.main(["validate", source]) == 1 and "Missing fields" in capsys.readouterr().out
+    assert jobs.main(["grade", source, str(tmp_path / "w"), "--judged", str(tmp_path / "judged.json"), "--min-count", "1"]) == 0
+    with pytest.raises(SystemExit):
+        jobs.main(["nothing"])
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
