@@ -5,8 +5,9 @@ incidence matrix. Entries are ordered by how many rows hold them, rarest first;
 then two rows that are similar enough share one of each one's first
 n - least overlap + 1 entries, so the product is formed over these blocks of
 columns only. In each block all rows are first multiplied with the block's
-leader. Rows that are linked belong to one component; only pairs across
-components are formed after that, by zones of size, as long as sizes and
+leader, and those that are not in its component with a second one. Rows that are
+linked belong to one component; only pairs across components are formed after
+that, by zones of size, as long as sizes and
 positions leave room for the least overlap and parities of the sets don't rule
 it out.
 
@@ -55,6 +56,8 @@ COUNTED = 0.2
 #: Words of 64 bits of a set's parities; two sets differ in as many entries at least as their parities do in bits.
 PARITIES = 8
 BITS = [f"p{i}" for i in range(PARITIES)]
+#: Leaders that a block's rows are compared with, one after another, before pairs are formed across components.
+ROUNDS = 2
 #: Column blocks over which overlaps are accumulated, as a power of two; partners of a row that are multiplied together.
 COLUMN_BITS, PART = 2, 2000
 SCAN = "doc_id long, n long, low long, high long, " + ", ".join(f"{b} long" for b in BITS)
@@ -239,33 +242,46 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
 
 
+def _labelled(led: DataFrame, label: DataFrame) -> DataFrame:
+    """led with the components of row (of) and lead (lead_of); one that is linked with none is its own."""
+    own = label.select(F.col("node").alias("row"), F.col("component").alias("of"))
+    lead_own = label.select(F.col("node").alias("lead"), F.col("component").alias("lead_of"))
+    return led.join(own, "row", "left").join(lead_own, "lead", "left").withColumn("of", F.coalesce("of", "row")).withColumn("lead_of", F.coalesce("lead_of", "lead"))
+
+
 def linked_blocks(spark: SparkSession, blocks: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of the rows that are similar to another row of one of their blocks, or reachable over such.
 
     blocks(entry, row, n, place): rows of n entries that share a column, which stands
-    at this place of theirs at the latest. known(row, n, parities). sets_of gives
-    (row, entries) of the rows asked for.
+    at this place of theirs at the latest. known(row, n, weight, parities): of rows
+    that may lead a block the heaviest does, as the one with most copies is the one
+    that the others were made from. sets_of gives (row, entries) of the rows asked for.
     """
-    leaders = blocks.groupBy("entry").agg(F.min(F.struct("place", "n", "row")).alias("x")).select("entry", F.col("x.row").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.place").alias("lead_place"))
-    led = blocks.join(leaders, "entry").where("row <> lead")
-    room = f"least(n - place, lead_n - lead_place) >= {_least(percent, 'n', 'lead_n')} and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
-    pairs = led.where(room).select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
-    known = known.select("row", "n", *BITS)
     of = lambda end, q: known.select(F.col("row").alias(end), F.col("n").alias(f"{q}n"), *(F.col(p).alias(f"{q}{p}") for p in BITS))
-    pairs = pairs.join(of("a", "a_"), "a").join(of("b", "b_"), "b").where(_may_be_near(percent, "a_", "b_", "a_n", "b_n")).select("a", "b")
-    pairs = written(spark, pairs, "pairs")
-    links = product(spark, pairs, sets_of(_ends(pairs)), percent)
-    label = components(spark, links)
-
-    # across components: rows outside their leader's component, with all rows of the block but the leader
-    own = label.select(F.col("node").alias("row"), F.col("component").alias("of"))
-    lead_own = label.select(F.col("node").alias("lead"), F.col("component").alias("lead_of"))
-    placed = led.join(own, "row", "left").join(lead_own, "lead", "left").withColumn("of", F.coalesce("of", "row")).withColumn("lead_of", F.coalesce("lead_of", "lead"))
-    placed = written(spark, placed.select("entry", "row", "n", "place", "of", "lead_of"), "placed")
+    weighed = blocks.join(known.select("row", "weight"), "row")
+    links, label, first = None, None, None
+    for _ in range(ROUNDS):
+        # rows that are not in the component of a leader before, with a leader of their own
+        leaders = weighed.groupBy("entry").agg(F.min(F.struct("place", (-F.col("weight")).alias("w"), "row", "n")).alias("x")).select("entry", F.col("x.row").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.place").alias("lead_place"))
+        led = weighed.join(leaders, "entry").where("row <> lead")
+        room = f"least(n - place, lead_n - lead_place) >= {_least(percent, 'n', 'lead_n')} and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
+        pairs = led.where(room).select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
+        pairs = pairs.join(of("a", "a_"), "a").join(of("b", "b_"), "b").where(_may_be_near(percent, "a_", "b_", "a_n", "b_n")).select("a", "b")
+        pairs = written(spark, pairs, "pairs")
+        found = product(spark, pairs, sets_of(_ends(pairs)), percent)
+        links = found if links is None else links.unionByName(found)
+        label = components(spark, links)
+        first = led if first is None else first
+        weighed = written(spark, _labelled(led, label).where("of <> lead_of").select("entry", "row", "n", "place", "weight"), "open")
+        if weighed.isEmpty():
+            return label
+
+    # across components: rows outside their first leader's component, with all rows of the block but the leader
+    placed = written(spark, _labelled(first, label).select("entry", "row", "n", "place", "of", "lead_of"), "placed")
     unsettled = placed.groupBy("entry").agg(F.count("*").alias("c"), F.max((F.col("of") != F.col("lead_of")).cast("int")).alias("open")).where("c > 1 and open = 1").select("entry")
     # similar sets are of one zone of size, or of two next to each other
     zone = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.001 if percent < 100 else 1e-9)).cast("long")
-    placed = placed.join(unsettled, "entry", "left_semi").join(known.drop("n"), "row").withColumn("zone", zone)
+    placed = placed.join(unsettled, "entry", "left_semi").join(known.select("row", *BITS), "row").withColumn("zone", zone)
     placed = written(spark, placed, "placed")
     x = placed.where("of <> lead_of").select("entry", F.explode(F.sequence(F.col("zone") - 1, F.col("zone") + 1)).alias("zone"), *(F.col(c).alias(f"x_{c}") for c in ("row", "n", "place", "of", *BITS)))
     cross = x.join(placed, ["entry", "zone"]).where("of <> x_of and (of = lead_of or row < x_row)")
@@ -302,7 +318,7 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = written(spark, texts.mapInArrow(_scanner(words), SCAN), "scan")
-    classes = scan.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("class_id"), *(F.first(b).alias(b) for b in BITS))
+    classes = scan.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), *(F.first(b).alias(b) for b in BITS))
     classes = written(spark, classes.select(F.monotonically_increasing_id().alias("row"), "*"), "classes")
     common, holders = _common(spark, texts, words)
     early = texts.where("doc_id is not null").mapInArrow(_early(words, percent, common, holders), ROWS)
@@ -315,7 +331,7 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
         found = only(texts, wanted, "doc_id").mapInArrow(_sets(words), "doc_id long, low long, entries array<long>")
         return written(spark, found.join(wanted, ["doc_id", "low"]).select("row", "entries"), "sets")
 
-    label = linked_blocks(spark, blocks, classes, sets_of, percent)
+    label = linked_blocks(spark, blocks, classes.select("row", "n", "weight", *BITS), sets_of, percent)
     named = classes.join(label, classes["row"] == label["node"], "left").select("low", "n", "high", "class_id", F.coalesce("component", "row").alias("component"))
     first = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = named.join(first, "component").drop("component")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import jaccard as J
 from .ordering import numbered, only, with_lists
-from .store import written
+from .store import release, written
 
 WORDS, PERCENT = 5, 80
 LEAST, LONG, NEAR = 8, 32, 8
@@ -195,10 +195,12 @@ def clusters(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """(doc, row, at, cluster): units that are in a cluster with others, of texts(row, doc_id, text)."""
     texts = texts.where("doc_id is not null")
     found = written(spark, texts.select(F.col("doc_id").alias("doc"), "row", "text").mapInArrow(_units, UNITS), "units")
-    equal = found.groupBy("low", "high").agg(F.count("*").alias("c")).where("c > 1")
+    equal = written(spark, found.groupBy("low", "high").agg(F.count("*").alias("c")).where("c > 1"), "equal")
     bands = found.select("low", "high", F.explode(F.array(*(f"b{j}" for j in range(BANDS)))).alias("entry")).where("entry is not null")
-    # unlike units in one band: first and last hash differ; copies are combined before the exchange
-    open_ = written(spark, bands.groupBy("entry").agg(F.min("low").alias("x"), F.max("low").alias("y")).where("x <> y").select("entry"), "open")
+    # unlike units in one band: the least and the greatest of half their hash differ; copies are combined before the exchange
+    half = F.col("low").bitwiseAND(0xFFFFFFFF)
+    open_ = written(spark, bands.groupBy("entry").agg(F.min(half).alias("x"), F.max(half).alias("y")).where("x <> y").select("entry"), "open")
+    release(spark)
     blocks = written(spark, only(bands, open_, "entry").distinct(), "colliding")
     classes = written(spark, equal.select("low", "high").unionByName(blocks.select("low", "high")).distinct(), "named")
     classes = written(spark, classes.select(F.monotonically_increasing_id().alias("class"), "low", "high"), "classes")
@@ -210,12 +212,14 @@ def clusters(spark: SparkSession, texts: DataFrame) -> DataFrame:
     having, _ = with_lists(texts.select("row", "text"), lists)
     kind = "row long, n long, entries array<long>, " + ", ".join(f"{b} long" for b in J.BITS)
     sets = written(spark, having.where("at is not null").select("row", "text", "at").mapInArrow(_parts, kind), "sets")
-    known = sets.drop("entries")
+    weights = equal.join(classes, ["low", "high"]).select(F.col("class").alias("row"), F.col("c").alias("weight"))
+    known = written(spark, sets.drop("entries").join(weights, "row", "left").withColumn("weight", F.coalesce("weight", F.lit(1))), "known")
     blocks = written(spark, blocks.join(known.select("row", "n"), "row").select("entry", "row", "n", F.lit(0).alias("place")), "blocks")
     label = J.linked_blocks(spark, blocks, known, lambda rows: sets, PERCENT)
     named = classes.join(label, F.col("class") == F.col("node"), "left").select("low", "high", F.coalesce("component", "class").alias("cluster"))
     of_several = named.join(equal, ["low", "high"], "left").groupBy("cluster").agg(F.sum(F.coalesce("c", F.lit(1))).alias("c")).where("c > 1").select("cluster")
     named = written(spark, named.join(of_several, "cluster", "left_semi"), "clustered")
+    release(spark)
     return found.select("doc", "row", "at", "low", "high").join(named, ["low", "high"]).select("doc", "row", "at", "cluster")
 
 

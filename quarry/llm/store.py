@@ -57,6 +57,11 @@ def scope(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
             _paths.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that are done: Spark deletes them when the driver's collector finds their plans unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def latest() -> str | None:
     return _paths[-1] if _paths else None
 
