@@ -2,36 +2,63 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 as Parquet and reads it again as the next one's docs. All but the last return
-the columns of documents. Rows are handled by doc_id, which is unique in
-documents; of rows that repeat an id, all are kept or dropped together.
+the columns of documents.
+
+Defined cases: rows are told apart by doc_id, and those without one by their
+text, so each of them is judged as its text is; of rows that share an id but not
+the text, all are kept or dropped together; of rows that repeat both, the near
+duplicates' stage keeps one. A null or empty text fails the quality rules. Of
+equal documents the smallest doc_id stays (ties). Very long texts are read
+whole. Empty tables pass through, and an empty benchmark drops nothing. Other
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, packing, quality, secrets
 from quarry.llm.store import latest, scope, written
 
 
+def _key(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.lit("no id"), docs["text"]))
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs, all with a doc_id."""
+    return docs.withColumn("doc_id", _key(docs))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key isn't among gone(doc_id)."""
+    gone = gone.select("doc_id").distinct()
+    return docs.join(gone, _key(docs) == gone["doc_id"], "left_anti")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    rated = quality.rated(spark, docs)
-    return docs.join(rated.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, quality.rated(spark, _told_apart(docs)).where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five words, 0.8 (op6's own three words and 0.9 are for that query only)."""
-    groups = jaccard.similar(spark, docs, words=5, percent=80)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    apart = _told_apart(docs)
+    groups = jaccard.similar(spark, apart, words=5, percent=80)
+    kept = _without(docs, groups.where("doc_id <> component_id"))
+    if apart.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    # repeated rows have the same id and text: a copy of each is left
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("rest")) if rest else kept.distinct()
+    return one.select(*(F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
-    hits = decontaminate.overlap(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    hits = decontaminate.overlap(spark, _told_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, hits.where("n_hit > 0"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
