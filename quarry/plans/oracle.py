@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.query import COMMON_WORDS, ES_ENDINGS, effective, ngrams, parse
+from ..functions.query import COMMON_WORDS, ES_ENDINGS
 from ..functions.text import COMPOUNDS, PLACEHOLDERS, STOP_WORDS
 from ..sources.records import LANGUAGES
-from .queries import ASKED, BATCH, DOC, PHRASE, QUERY
+from .queries import ASKED, DOC, PARSED
 
 
 def _s(x: str) -> str:
@@ -44,10 +44,21 @@ dl AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS doc_len FROM post GROUP BY doc_
 m AS (SELECT count(*) AS n, avg(doc_len) AS avg_dl FROM dl)"""
 
 
+# What the queries mean, written by hand: weights of title, summaries, genres and stars, and terms.
+_MEANT = {
+    "query": ((2.0, 0.5, 1.0, 1.0), "ther english eren tion"),
+    "phrase": ((1.0, 1.0, 1.0, 1.0), "gnu general public license version"),
+    "french": ((1.0, 1.0, 3.0, 1.0), "french que les"),
+    "source": ((1.0, 1.0, 1.0, 2.0), "source 0007 source"),
+}
+_BATCH = {0: "query", 1: "phrase", 2: "french", 3: "source"}
+_NGRAMS = ["gnu general public", "general public license", "public license version", "gnu general", "general public", "public license", "license version"]
+
+
 def _contributions(name: str, query: str) -> str:
-    weights, terms = parse(query)
-    case = " ".join(f"WHEN {_s(f)} THEN CAST({w} AS DOUBLE)" for f, w in effective(weights).items())
-    rows = ", ".join(f"({i}, {_s(t)})" for i, t in enumerate(terms))
+    weights, terms = _MEANT[query]
+    case = " ".join(f"WHEN {_s(f)} THEN CAST({w} AS DOUBLE)" for f, w in zip(("title", "summaries", "genres", "stars"), weights, strict=True))
+    rows = ", ".join(f"({i}, {_s(t)})" for i, t in enumerate(terms.split()))
     return f"""{name} AS (SELECT q.qpos, p.term, p.doc_id, p.doc_seq, p.field, p.field_seq, p.positions,
   (CASE p.field {case} END) * ln((m.n - t.df + CAST(0.5 AS DOUBLE)) / (t.df + CAST(0.5 AS DOUBLE)) + 1)
   * (p.tf * CAST(2.2 AS DOUBLE) / (p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * (dl.doc_len / m.avg_dl)))) AS score
@@ -60,10 +71,8 @@ def _topk(source: str, k: int, more: str = "") -> str:
 
 def _phrases() -> str:
     """Position pairs of the consecutive words of each phrase."""
-    terms = parse(PHRASE)[1]
-    found = ngrams(terms)
-    words = ", ".join(f"({_s(' '.join(p))}, {i}, {_s(w)})" for p in found for i, w in enumerate(p))
-    return f"""{_contributions("con", PHRASE)},
+    words = ", ".join(f"({_s(p)}, {i}, {_s(w)})" for p in _NGRAMS for i, w in enumerate(p.split()))
+    return f"""{_contributions("con", "phrase")},
 ph(phrase, i, word) AS (VALUES {words}),
 size AS (SELECT phrase, count(*) AS n, count(DISTINCT word) AS d FROM ph GROUP BY phrase),
 place AS (SELECT doc_id, term, unnest(positions) AS pos FROM post WHERE term IN (SELECT word FROM ph)),
@@ -79,8 +88,8 @@ fit AS (SELECT DISTINCT phrase, doc_id FROM s2 JOIN size USING (phrase) WHERE n
 
 
 def _batch() -> tuple[str, str]:
-    parts = ", ".join(_contributions(f"con{i}", q) for i, q in BATCH.items())
-    union = " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id, doc_seq, min(qpos) AS fq, round(sum(score), 6) AS score FROM con{i} GROUP BY doc_id, doc_seq" for i in BATCH)
+    parts = ", ".join(_contributions(f"con{i}", q) for i, q in _BATCH.items())
+    union = " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id, doc_seq, min(qpos) AS fq, round(sum(score), 6) AS score FROM con{i} GROUP BY doc_id, doc_seq" for i in _BATCH)
     return parts, f"SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fq, doc_seq) AS rank FROM ({union})) WHERE rank <= 10"
 
 
@@ -115,7 +124,7 @@ ruled AS (SELECT p.*, v.variant, n.candidate, CASE WHEN plain THEN 'plain' WHEN
 
 def _judged() -> str:
     parts, batch = _batch()
-    ids = ", ".join(f"({i})" for i in BATCH)
+    ids = ", ".join(f"({i})" for i in _BATCH)
     return f"""{parts}, hit AS ({batch}), h5 AS (SELECT * FROM hit WHERE rank <= 5), qs(query_id) AS (VALUES {ids}),
 good AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM labels WHERE quality = 1),
 jd AS (SELECT qs.query_id, (SELECT count(DISTINCT doc_id) FROM h5 WHERE h5.query_id = qs.query_id) AS retrieved,
@@ -124,37 +133,72 @@ jd AS (SELECT qs.query_id, (SELECT count(DISTINCT doc_id) FROM h5 WHERE h5.query
   (SELECT count(*) FROM good) AS judged, (SELECT count(DISTINCT doc_id) FROM good) AS relevant FROM qs)"""
 
 
-_ITEMS = """it AS (SELECT doc_id AS seq, CASE WHEN doc_id % 11 = 0 THEN source ELSE 'tt' || lpad(CAST(doc_id % 900 AS VARCHAR), 7, '0') END AS id, doc_id % 5 = 0 AS blank,
-  lpad(CAST(n_chars AS VARCHAR), 4, '0') AS yr, lpad(CAST(n_chars AS VARCHAR), 4, '0') AS y, doc_id % 3 = 0 AS unrated, doc_id % 4 = 0 AS nobudget, lang, source, doc_id, n_chars FROM documents)"""
+_ITEMS = """it AS (SELECT doc_id AS seq, CASE WHEN doc_id % 11 = 0 THEN source ELSE 'tt' || lpad(CAST(doc_id % 900 AS VARCHAR), 7, '0') END AS id,
+  lpad(CAST(n_chars AS VARCHAR), 4, '0') AS y, lang, source, doc_id, n_chars FROM documents)"""
 
 
 def _findings() -> str:
-    missing = ["first_page_summary", "mpaa", "gross_worldwide", "directors", "writers", "stars", "languages", "countries_of_origin", "summaries", "synopsis", "reviews"]
-    every = [(s, "schema", f) for f in missing for s in ("missing", "warning")]
-    every += [("error", "gross_worldwide", "gross_worldwide")]
-    every += [("error", "list", f) for f in ("directors", "writers", "stars", "languages", "countries_of_origin", "summaries", "synopsis")]
-    every += [("error", "reviews", "reviews"), ("warning", "links", "related_links")]
-    rows = [f"SELECT {_s(s)} AS severity, {_s(r)} AS rule, {_s(f)} AS field, seq FROM it" for s, r, f in every]
-    rows += [
-        "SELECT 'error', 'id', 'id', seq FROM it WHERE NOT regexp_full_match(id, 'tt[0-9]{7,8}')",
-        "SELECT 'warning', 'title', 'title', seq FROM it WHERE blank",
-        "SELECT 'warning', 'release_year', 'release_year', seq FROM it WHERE NOT regexp_full_match(y, '[0-9]{4}')",
-        "SELECT 'placeholder', 'rating', 'rating', seq FROM it WHERE unrated",
-        "SELECT 'warning', 'budget', 'budget', seq FROM it WHERE nobudget",
-        "SELECT 'warning', 'list', 'genres', seq FROM it WHERE doc_id % 6 = 0 OR lang = source",
-        "SELECT 'error', 'unique', 'id', min(seq) FROM it GROUP BY id HAVING count(*) > 1",
+    absent = ["first_page_summary", "mpaa", "gross_worldwide", "writers", "countries_of_origin", "summaries", "synopsis"]
+    some = {"directors": "doc_id % 17 <> 0", "stars": "doc_id % 19 <> 0", "languages": "doc_id % 7 <> 0", "reviews": "doc_id % 6 = 0"}
+    missing = {f: "true" for f in absent} | some
+    rules = [(s, "schema", f, when) for f, when in missing.items() for s in ("missing", "warning")]
+    rules += [("error", "gross_worldwide", "gross_worldwide", "true")]
+    rules += [("error", "list", f, "true") for f in ("directors", "writers", "countries_of_origin", "summaries", "synopsis")]
+    rules += [("error", "list", f, some[f]) for f in ("stars", "languages")]
+    rules += [
+        ("error", "id", "id", "NOT regexp_full_match(id, 'tt[0-9]{7,8}')"),
+        ("error", "schema", "title", "doc_id % 13 = 0"), ("error", "title", "title", "doc_id % 13 = 0"),
+        ("warning", "title", "title", "doc_id % 13 <> 0 AND doc_id % 5 = 0"),
+        ("warning", "release_year", "release_year", "NOT regexp_full_match(y, '[0-9]{4}')"),
+        ("placeholder", "rating", "rating", "doc_id % 3 = 0"),
+        ("warning", "budget", "budget", "doc_id % 4 = 0"),
+        ("warning", "list", "genres", "doc_id % 6 = 0 OR lang = source"),
+        ("error", "schema", "directors", "doc_id % 17 = 0"),
+        ("error", "schema", "stars", "doc_id % 19 = 0"), ("error", "list", "stars", "doc_id % 19 = 0"), ("warning", "list", "stars", "doc_id % 19 = 0"),
+        ("placeholder", "list", "languages", "doc_id % 7 = 0"),
+        ("warning", "links", "related_links", "true"),
+        *[("warning", "links", "related_links", "doc_id % 6 = 0")] * 3,  # two bad ids and a duplicate
+        ("error", "schema", "reviews", "doc_id % 6 IN (1, 4, 5)"),
+        ("error", "reviews", "reviews", "doc_id % 6 IN (0, 1, 5)"),
+        ("warning", "reviews", "reviews", "doc_id % 6 >= 2"), ("warning", "reviews", "reviews", "doc_id % 6 = 3"),
     ]
+    rows = [f"SELECT {_s(s)} AS severity, {_s(r)} AS rule, {_s(f)} AS field, seq FROM it WHERE {when}" for s, r, f, when in rules]
+    rows += ["SELECT 'error', 'unique', 'id', min(seq) FROM it GROUP BY id HAVING count(*) > 1"]
     return " UNION ALL ".join(rows)
 
 
+def _parsed() -> str:
+    """The query syntax once more, in SQL."""
+    rows = ", ".join(f"({i}, {_s(q)})" for i, q in enumerate(PARSED))
+    return f"""q(query, t) AS (VALUES {rows}),
+part AS (SELECT query, ps[k] AS p, k FROM (SELECT query, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT query, list_filter(string_split_regex(translate(t, chr(34) || chr(39), '  '), '[[:space:]]+'), lambda x: x <> '') AS ps FROM q))),
+named AS (SELECT *, regexp_full_match(p, '[a-zA-Z_]+:-?[0-9]*[.]?[0-9]+') AS fits, CASE split_part(p, ':', 1) WHEN 'summary' THEN 'summaries' ELSE split_part(p, ':', 1) END AS name FROM part),
+known AS (SELECT *, fits AND name IN ('title', 'summaries', 'genres', 'stars') AS sets FROM named)"""
+
+
+_PAGE_RECORDS = """SELECT 'p' || n AS id, 'Film ' || n || ' & Co' AS title,
+  CASE WHEN n % 3 <> 0 THEN 'Plot of ' || n ELSE 'Summary not found.' END AS first_page_summary,
+  CASE WHEN n % 3 = 1 THEN '19' || n ELSE 'Release year not found.' END AS release_year,
+  CASE n % 4 WHEN 0 THEN 'C' || n WHEN 1 THEN 'P' || n WHEN 2 THEN 'LD' || n ELSE 'MPAA rating not found.' END AS mpaa,
+  CASE n % 3 WHEN 0 THEN '$' || n WHEN 1 THEN 'Budget not found.' ELSE 'Budget tag not found.' END AS budget,
+  CASE WHEN n % 2 = 0 THEN '$9' || n ELSE 'Gross worldwide tag not found.' END AS gross_worldwide,
+  CASE n % 4 WHEN 0 THEN '8.' || n WHEN 1 THEN '7.' || n WHEN 2 THEN '6.5' ELSE 'Rating not found.' END AS rating,
+  'Dir ' || n AS directors, CASE WHEN n % 2 = 0 THEN 'W1|W2' ELSE '' END AS writers, 'S' || n AS stars,
+  'https://www.imdb.com/title/r' || n || '/?x' AS related_links, CASE WHEN n % 5 <> 0 THEN 'Drama|G' || n ELSE '' END AS genres,
+  CASE WHEN n % 3 = 2 THEN 'L' || n || '|M' ELSE 'Languages not found.' END AS languages,
+  CASE WHEN n % 2 = 1 THEN 'US' || n || '|FR' ELSE 'No countries of origin found.' END AS countries_of_origin,
+  CASE WHEN n % 7 <> 0 THEN 'Sum ' || n || ' <1>|two' ELSE '' END AS summaries, CASE WHEN n % 7 <> 0 THEN 'Syn ' || n ELSE '' END AS synopsis,
+  CASE WHEN n % 6 <> 0 THEN 'Fine ' || n || '/8|/N/A' ELSE '' END AS reviews FROM (SELECT page_id AS n FROM pages)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {BASE}"
     parts, batch = _batch()
     base, kind = _plural("term")
-    one = _contributions("con", QUERY)
+    one = _contributions("con", "query")
     summed = "SELECT doc_id, doc_seq, min(qpos) AS fq, round(sum(score), 6) AS score FROM con GROUP BY doc_id, doc_seq"
     boosted = "SELECT doc_id, doc_seq, fq, CAST(coalesce(n, 0) AS INTEGER) AS n_phrases, round(base + coalesce(n, 0) * base * 0.5, 6) AS score FROM (SELECT doc_id, doc_seq, min(qpos) AS fq, sum(score) AS base FROM con GROUP BY doc_id, doc_seq) LEFT JOIN (SELECT doc_id, count(*) AS n FROM fit GROUP BY doc_id) USING (doc_id)"
-    grams = ", ".join(f"({i}, {_s(' '.join(p))}, {len(p)})" for i, p in enumerate(ngrams(parse(PHRASE)[1])))
+    grams = ", ".join(f"({i}, {_s(p)}, {len(p.split())})" for i, p in enumerate(_NGRAMS))
     page = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
     return {
         "index_build": f"{w} SELECT (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM tok) AS tokens, (SELECT count(*) FROM tdf) AS terms, (SELECT count(*) FROM dl) AS documents",
@@ -170,6 +214,12 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"{w}, {one} {_topk(summed, 20)}",
         "bm25_detail": f"{w}, {one} SELECT doc_id, term, round(sum(score), 6) AS score FROM con GROUP BY doc_id, term",
         "bm25_batch_topk": f"{w}, {parts} {batch}",
+        "parsed_weights": f"WITH {_parsed()} SELECT q.query, f.field, CAST(coalesce((SELECT arg_max(greatest(0.0, CAST(split_part(p, ':', 2) AS DOUBLE)), k) FROM known WHERE known.query = q.query AND sets AND name = f.field), 1.0) AS DOUBLE) AS weight FROM q, (VALUES ('title'), ('summaries'), ('genres'), ('stars')) f(field)",
+        "parsed_terms": f"WITH {_parsed()} SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY k) - 1 AS INTEGER) AS place, lower(p) AS term FROM known WHERE NOT sets",
+        "sequential_phrase": f"{w}, pl AS (SELECT doc_id, term, unnest(positions) AS pos FROM post WHERE term IN ('gnu', 'general', 'public')) SELECT DISTINCT doc_id, doc_id IN (SELECT a.doc_id FROM pl a JOIN pl b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN pl c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'gnu' AND b.term = 'general' AND c.term = 'public') AS sequential FROM pl",
+        "repeated_ids": f"{w}, each AS (SELECT doc_seq, CAST(doc_seq % 97 AS VARCHAR) AS id, CAST(sum(len(toks)) AS BIGINT) AS n FROM wrd GROUP BY doc_seq HAVING sum(len(toks)) > 0) SELECT id AS doc_id, min(doc_seq) AS doc_seq, arg_max(n, doc_seq) AS doc_len FROM each GROUP BY id",
+        "validation_summary": f"WITH {_ITEMS}, f AS ({_findings()}) SELECT count(*) FILTER (severity = 'error' AND rule <> 'unique') + least(1, count(*) FILTER (rule = 'unique')) AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM f",
+        "page_records": _PAGE_RECORDS,
         "query_ngrams": f"SELECT * FROM (VALUES {grams}) v(place, phrase, n)",
         "phrase_stats": f"{w}, {_phrases()} SELECT phrase, docs, pairs, mean_gap, common FROM stat",
         "phrase_boosted_topk": f"{w}, {_phrases()} {_topk(boosted, 20, 'n_phrases, ')}",

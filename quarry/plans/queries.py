@@ -20,6 +20,10 @@ PHRASE = "gnu general public license version"
 BATCH = {0: QUERY, 1: PHRASE, 2: "genres:3 french que les", 3: "stars:2 source 0007 source"}
 ASKED = ["theer", "englis", "tions", "the", "pub-lic", "x", "1994", "erents", "licenses", "verson", "qqqqqq", "generals"]
 DOC = "12"
+PARSED = [
+    QUERY, PHRASE, *list(BATCH.values())[2:], "title:0 genres:1 stars:0 summaries:0 matrix", "summary:0.4 drama", "stars:-1 title:2 prison escape", "director:1.0 tom hanks",
+    'stars:1 "lord of the rings"', "Title:2 x", "title:1. title:+1", "title:.5 title:3 title:.25", "don't STOP", "", "genres:007 a:b:c x:1 stars:-.5",
+]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +120,32 @@ def query_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, " ".join(p), len(p)) for i, p in enumerate(ngrams(parse(PHRASE)[1]))], "place int, phrase string, n int")
 
 
+def parsed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of each field in the asked queries."""
+    rows = [(i, f, float(w)) for i, q in enumerate(PARSED) for f, w in parse(q)[0].items()]
+    return spark.createDataFrame(rows, "query int, field string, weight double")
+
+
+def parsed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, k, t) for i, q in enumerate(PARSED) for k, t in enumerate(parse(q)[1])]
+    return spark.createDataFrame(rows, "query int, place int, term string")
+
+
+def sequential_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the first three words of the phrase one right after another."""
+    weights, terms = parse(PHRASE)
+    docs = search.scored(search.contributions(_index(spark, sf_dir), weights, terms[:3]))
+    words = F.array(*map(F.lit, terms[:3]))
+    fits = F.when(F.size(F.array_except(words, F.map_keys("places"))) == 0, search.flexible(F.col("places"), words, exact=True)).otherwise(F.lit(False))
+    return docs.select("doc_id", fits.alias("sequential"))
+
+
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that share ids: the last with tokens counts, at the place of the first."""
+    records = _records(spark, sf_dir).withColumn("id", (F.col("seq") % 97).cast("string"))
+    return index.field_tokens(records).where("doc_len > 0").select("doc_id", "doc_seq", "doc_len")
+
+
 def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, terms = parse(PHRASE)
     found = search.phrase_stats(search.scored(search.contributions(_index(spark, sf_dir), weights, terms)), terms)
@@ -206,18 +236,29 @@ def posting_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with faults of many kinds, made of documents by rule."""
+    """Records with faults of many kinds, made of documents by rule; some values are of types that a record must not have."""
     d = F.col("doc_id")
+    typed = lambda text: F.lit(text)  # noqa: E731  a JSON value
     item = F.struct(
         F.when(d % 11 == 0, F.col("source")).otherwise(F.concat(F.lit("tt"), F.lpad((d % 900).cast("string"), 7, "0"))).alias("id"),
-        F.when(d % 5 == 0, F.lit(" ")).otherwise(F.lit("a title")).alias("title"),
         F.lpad(F.col("n_chars").cast("string"), 4, "0").alias("release_year"),
         F.when(d % 3 == 0, F.lit("Rating not found.")).otherwise(((F.col("n_chars") % 100) / 10).cast("string")).alias("rating"),
         F.when(d % 4 == 0, F.lit("none")).otherwise(F.lit("$5")).alias("budget"),
         F.array(F.col("lang"), F.when(d % 6 == 0, F.col("lang")).otherwise(F.col("source"))).alias("genres"),
-        F.array(F.concat(F.lit("https://www.imdb.com/title/tt"), F.lpad(d.cast("string"), 7, "0"), F.lit("/")), F.lit("http://x/")).alias("related_links"),
     )
-    return _documents(spark, sf_dir).select(d.alias("seq"), F.parse_json(F.to_json(item)).alias("item"))
+    good = F.concat(F.lit('"https://www.imdb.com/title/tt'), F.lpad(d.cast("string"), 7, "0"), F.lit('/"'))
+    links = F.concat(F.lit("["), good, F.lit(', "http://x/"'), F.when(d % 6 == 0, F.lit(', "https://www.imdb.com/name/nm1/", "https://www.imdb.com/name/nm1/"')).otherwise(""), F.lit("]"))
+    others = {
+        "title": F.when(d % 13 == 0, typed("5")).when(d % 5 == 0, typed('" "')).otherwise(typed('"a title"')),
+        "related_links": links,
+        "directors": F.when(d % 17 == 0, typed('"d"')),
+        "stars": F.when(d % 19 == 0, typed('[1, "b", ""]')),
+        "languages": F.when(d % 7 == 0, typed('["Languages not found."]')).when(d % 7 == 1, typed("null")),
+        "reviews": F.when(d % 6 == 1, typed('"no"')).when(d % 6 == 2, typed('[["t"]]')).when(d % 6 == 3, typed('[["", "11"]]')).when(d % 6 == 4, typed('[["t", 5]]')).when(d % 6 == 5, typed('[["t", "good"], "x"]')),
+    }
+    more = F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), value) for name, value in others.items()))
+    text = F.concat(F.regexp_replace(F.to_json(item), r"\}$", ", "), more, F.lit("}"))
+    return _documents(spark, sf_dir).select(d.alias("seq"), F.parse_json(text).alias("item"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +270,13 @@ def findings_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.by_field(validate.findings(_items(spark, sf_dir)), validate.MISSING)
 
 
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and warnings as the report counts them: all duplicate ids together are one error."""
+    found = validate.findings(_items(spark, sf_dir))
+    of = lambda severity, unique: F.count(F.when((F.col("severity") == severity) & ((F.col("rule") == "unique") == unique), 1))
+    return found.agg((of(validate.ERROR, False) + F.least(of(validate.ERROR, True), F.lit(1))).alias("errors"), of(validate.WARNING, False).alias("warnings"))
+
+
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.duplicate_ids(_items(spark, sf_dir)).select("id", "n", "seq")
 
@@ -251,18 +299,53 @@ def sub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", extract.title_id(u).alias("id"), extract.sub_page(u, "plotsummary").alias("summary_url"), extract.sub_page(u, "reviews").alias("reviews_url"))
 
 
+def _titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, each with the marked-up parts of a title page before it and with two sub-pages, by rule."""
+    n = F.col("page_id")
+    s = n.cast("string")
+    made = lambda template, when=None: F.format_string(template, *([s] * template.count("%s"))) if when is None else F.when(when, F.format_string(template, *([s] * template.count("%s")))).otherwise("")
+    item, label = "ipc-metadata-list-item__list-content-item", "ipc-metadata-list-item__label"
+    credit = '<li data-testid="title-pc-principal-credit"><{0} class="%s">{1}</{0}>' % label
+    html = F.concat(
+        made("<h1> Film %s &amp; Co </h1>"),
+        made('<span data-testid="plot-xl">Plot <i>of</i> %s</span>', n % 3 != 0),
+        made(credit.format("span", "Director") + f'<a class="{item} x">Dir %s</a></li>'),
+        made(credit.format("a", "Writers") + f'<a class="{item}">W2</a><a class="{item}">W1</a><a class="{item}">W2</a></li>', n % 2 == 0),
+        made(credit.format("a", "Stars") + f'<a class="{item}">S%s</a></li>'),
+        made(credit.format("a", "Star") + f'<a class="{item}">nobody</a></li>'),
+        made('<section data-testid="MoreLikeThis"><a class="ipc-lockup-overlay ipc-focusable" href="/title/r%s/?x">l</a><a class="ipc-lockup-overlay other" href="/y">l</a></section>'),
+        made('<div class="ipc-chip-list__scroller"><span class="ipc-chip__text">Drama</span><span class="ipc-chip__text"> </span><span class="ipc-chip__text">G%s</span></div>', n % 5 != 0),
+        made('<div data-testid="hero-rating-bar__aggregate-rating__score"><span>8.%s</span><span>/10</span></div>', n % 4 == 0),
+        made('<b itemprop="ratingValue"> 7.%s </b>', n % 4 == 1),
+        made('<script type="application/ld+json">{"aggregateRating": {"ratingValue": 6.5}, "contentRating": "LD%s"}</script>', n % 4 == 2),
+        made(f'<li class="ipc-metadata-list__item"><span class="{label}">Certificate</span><span class="{item}">C%s</span></li>', n % 4 == 0),
+        made('<a href="/x/parentalguide/certificates?y">P%s</a>', n % 4 == 1),
+        made('<a href="/x/releaseinfo?y">19%s</a>', n % 3 == 1),
+        made(f'<li data-testid="title-details-languages"><a class="{item}">L%s</a><a class="{item}">M</a></li>', n % 3 == 2),
+        made('<a href="/search?country_of_origin=US">US%s</a><a href="/search?country_of_origin=FR">FR</a>', n % 2 == 1),
+        made(f'<li data-testid="title-boxoffice-budget"><span class="{item}">$%s</span></li>', n % 3 == 0),
+        made('<li data-testid="title-boxoffice-budget"><b>no value</b></li>', n % 3 == 1),
+        made(f'<li data-testid="title-boxoffice-cumulativeworldwidegross"><span class="{item}">$9%s</span></li>', n % 2 == 0),
+        F.coalesce("html", F.lit("")),
+    )
+    summary = F.when(n % 7 != 0, F.format_string('<div data-testid="sub-section-summaries"><li><div class="ipc-html-content-inner-div">Sum %s &lt;1&gt;</div></li><li><div class="ipc-html-content-inner-div">two</div></li></div><div data-testid="sub-section-synopsis">Syn %s</div>', s, s))
+    reviews = F.when(n % 6 != 0, F.format_string('<div class="lister-list"><div class="lister-item a"><div class="text show-more__control">Fine %s</div><span class="rating-other-user-rating"><span>8</span></span></div><div class="lister-item"></div></div>', s))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("https://h/title/p"), s, F.lit("/")).alias("url"), html.alias("html"), summary.alias("summary_html"), reviews.alias("reviews_html"))
+
+
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record parser over all pages; most of their fields are not there to find."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("https://h/title/p"), F.col("page_id").cast("string"), F.lit("/")).alias("url"), "html")
-    got = extract.records(pages)
-    return got.select("id", "title", "rating", "mpaa", "release_year", F.array_join("languages", ",").alias("languages"), F.size("stars").alias("n_stars"))
+    """All fields of the record parser over all pages."""
+    got = extract.records(_titled_pages(spark, sf_dir))
+    lists = [f for f, kind in got.dtypes if kind == "array<string>"]
+    reviews = F.array_join(F.transform("reviews", lambda x: F.array_join(x, "/")), "|").alias("reviews")
+    return got.select(*(F.array_join(f, "|").alias(f) if f in lists else reviews if f == "reviews" else F.col(f) for f in got.columns))
 
 
 QUERIES: list[Query] = [
     index_build, clean_text, tokens_long, postings, term_df, doc_lengths, index_meta, field_distribution, token_length_hist,
-    bm25_topk, bm25_detail, bm25_batch_topk, query_ngrams, phrase_stats, phrase_boosted_topk, explain_doc,
+    bm25_topk, bm25_detail, bm25_batch_topk, query_ngrams, parsed_weights, parsed_terms, phrase_stats, sequential_phrase, phrase_boosted_topk, explain_doc,
     eval_metrics, eval_pass, plural_forms, spell_candidates, spell_best, df_summary, top_tokens, index_integrity, processed_checks,
-    field_coverage, preprocess_report, posting_samples, findings, findings_by_field, duplicate_ids,
+    field_coverage, preprocess_report, posting_samples, findings, findings_by_field, validation_summary, duplicate_ids, repeated_ids,
     page_extract, link_frontier, sub_pages, page_records,
 ]
 
