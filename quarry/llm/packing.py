@@ -194,10 +194,10 @@ def _cutter(path: str, capacity: int):
         from .wordbpe import load
 
         encoder, end = load(path), np.array([END_ID], "<u4").tobytes()
-        for batch in slices(batches, "text"):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch in slices(batches, "text", 2_000_000):
+            ids = batch.column(0).to_pylist()
             rows = []
-            for doc, coded in zip(ids, encoder.encode(texts), strict=True):
+            for doc, coded in zip(ids, encoder.encode(batch.column(1)), strict=True):
                 coded += end
                 step = capacity * 4
                 rows += [(doc, k // step, k // 4, min(step, len(coded) - k) // 4, zlib.crc32(coded[k : k + step])) for k in range(0, len(coded), step)]

@@ -1,7 +1,7 @@
 """Encodes texts with a word-level BPE vocabulary file exactly as its library does.
 
 A text is cut at white space; each distinct piece is encoded once per batch and
-kept in a bounded table. New pieces are merged all together with arrays: one
+kept, by its hash, in a bounded table. New pieces are merged all together with arrays: one
 round merges the pair of lowest rank, leftmost first, in every word. Texts with
 characters whose handling needs the library (its normaliser, its special
 strings) or words of over LONG bytes go to the library itself.
@@ -11,16 +11,21 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import kernels as K
 
 LONG = 64
-#: Pieces kept by a worker (about 250 bytes each); when full, it starts anew.
-KEPT = 400_000
+#: Pieces kept by a worker (about 40 bytes each); when full, it starts anew.
+KEPT = 1_000_000
 #: Characters that NFC and lower-casing treat one by one; special strings hold "<|".
-_OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ“”‘’–—…€©]|<\\|")
+_OTHER = "[^\t\n\r -~À-ÖØ-öø-ÿ“”‘’–—…€©]|<\\|"
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+#: Pieces of letters only, and not long, are one word.
+_LETTERS = f"^[a-zß-öø-ÿ]{{1,{LONG // 2}}}$"
 _NONE = np.int64(2**62)
 
 
@@ -59,7 +64,7 @@ class WordBpe:
             self.slots[at[put]], self.ranks[at[put]] = todo[put], rank[put]
             todo, rank, shift = todo[~put], rank[~put], shift + 1
         self.probes = shift
-        self.kept: dict[str, bytes] = {}
+        self._forget()
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -80,12 +85,12 @@ class WordBpe:
             left, key, at = left[go], key[go], at[go] + 1
         return out
 
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as little-endian 32-bit integers."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def _merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, whose bytes stand one after another, and how many each has."""
+        if not len(sizes):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         ids = self.inner[data]
         ids[ends - 1] = self.final[data[ends - 1]]
@@ -120,29 +125,83 @@ class WordBpe:
             rate(at)
             left = before[at]
             rate(left[left >= 0])
-        kept = ids[alive].astype("<u4").tobytes()
-        stops = np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64)).tolist()
-        return [kept[a * 4 : b * 4] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def _by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids, as little-endian 32-bit integers; null has none."""
-        kept = self.kept
-        split = [None if t is not None and _OTHER.search(t) else (t or "").lower().split() for t in texts]
-        new = list(set(chain.from_iterable(s for s in split if s)).difference(kept))
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-            new = list(set(chain.from_iterable(s for s in split if s)))
-        if new:
-            short = [x for x in new if len(x) <= LONG // 2]
-            kept.update((x, self._by_library(x)) for x in new if len(x) > LONG // 2)
-            parts = [[w.encode() for w in _WORD.findall(x)] for x in short]
-            ids = iter(self._merge([w for p in parts for w in p])) if short else iter(())
-            kept.update((x, next(ids) if len(p) == 1 else b"".join([next(ids) for _ in p])) for x, p in zip(short, parts, strict=True))
-        get = kept.__getitem__
-        return [self._by_library(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return ids[alive].astype("<u4"), np.add.reduceat(alive, starts, dtype=np.int64)
+
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has."""
+        plain = pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
+        data, offsets = K.utf8(words.filter(pa.array(plain)))
+        others = np.flatnonzero(~plain)
+        parts, long = [], {}
+        for i, x in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), strict=True):
+            if len(x) > LONG // 2:
+                long[i] = self._by_library(x)
+                parts.append([])
+            else:
+                parts.append([w.encode() for w in _WORD.findall(x)])
+        rest = [w for p in parts for w in p]
+        ids, counts = self._merge(np.concatenate([data, np.frombuffer(b"".join(rest), np.uint8)]), np.concatenate([np.diff(offsets), np.fromiter(map(len, rest), np.int64, len(rest))]))
+        n = int(plain.sum())
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        size[plain] = counts[:n]
+        upto = np.concatenate([[0], np.cumsum(counts[n:])])
+        of = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        size[others] = np.diff(upto[of])
+        start[plain] = np.cumsum(counts[:n]) - counts[:n]
+        start[others] = counts[:n].sum() + upto[of[:-1]]
+        if long:
+            tail = len(ids)
+            for i, own in long.items():
+                start[i], size[i] = tail, len(own)
+                tail += len(own)
+            ids = np.concatenate([ids, *long.values()])
+        return K.runs(ids, start, start + size)[0], size
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct pieces start in `flat`, and how many there are; pieces are known by hashes of 64 bits."""
+        data, offsets = K.utf8(words)
+        key = K.hashes(data, offsets[:-1], offsets[1:])
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        new = self.keys[at] != key if len(self.keys) else np.ones(len(key), bool)
+        if new.any():
+            if len(self.keys) + int(new.sum()) > KEPT:
+                self._forget()
+                new[:] = True
+            ids, size = self._new(words.filter(pa.array(new)))
+            start = len(self.flat) + np.cumsum(size) - size
+            keys = np.concatenate([self.keys, key[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.start, self.size = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+            self.flat = np.concatenate([self.flat, ids])
+            at = np.searchsorted(self.keys, key)
+        return self.start[at], self.size[at]
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Each text's ids, as little-endian 32-bit integers; null has none.
+
+        Lower-casing, splitting and the count of distinct pieces are the array
+        library's; only pieces of other signs than letters are Python's.
+        """
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        other = pc.match_substring_regex(column, _OTHER).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(other), "", column)))
+        pieces = lists.flatten().dictionary_encode()
+        start, size = self._places(pieces.dictionary)
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        ids, each = K.runs(self.flat, start[which], start[which] + size[which])
+        raw = ids.tobytes()
+        offsets = np.asarray(lists.offsets)
+        cut = (4 * np.concatenate([[0], np.cumsum(each)])[offsets - offsets[0]]).tolist()
+        out = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i in np.flatnonzero(other).tolist():
+            out[i] = self._by_library(column[i].as_py()).tobytes()
+        return out
 
 
 _loaded: dict[str, WordBpe] = {}
