@@ -7,7 +7,6 @@ variant: absent, null, or of a type that schema_of_variant names.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +33,11 @@ PLACEHOLDERS = {
 }
 ERROR, WARNING, COUNTED, MISSING = "error", "warning", "placeholder", "missing"
 
-Finding = "array<struct<severity:string,rule:string,field:string,message:string>>"
+Finding = "array<struct<severity:string,rule:string,message:string>>"
 
 
-def _get(field: str) -> Column:
-    return F.expr(f"variant_get(item, '$.{field}')")
+ALL_FIELDS = [*TEXT_FIELDS, *LIST_FIELDS, "reviews"]
+_BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
 def _kind(v: Column) -> Column:
@@ -50,137 +49,139 @@ def _as(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _found(severity: str, rule: str, field: str, when: Column, message: Column | str = "") -> Column:
-    text = F.lit(message) if isinstance(message, str) else message
-    row = F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(field).alias("field"), text.cast("string").alias("message"))
-    return F.when(F.coalesce(when, F.lit(False)), F.array(row)).otherwise(F.array().cast(Finding))
+def _text_of(x: Column) -> Column:
+    return F.when(F.schema_of_variant(x) == "STRING", _as(x, "string"))
 
 
-def _is_list(kind: Column) -> Column:
-    return F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+def _found(severity: str, rule: Column | str, when: Column, message: Column | str = "") -> Column:
+    """A finding, or null."""
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), as_column(rule).alias("rule"), as_column(message).alias("message")))
 
 
-def is_placeholder(field: str, text: Column) -> Column:
-    known = PLACEHOLDERS.get(field)
-    return F.lit(False) if known is None else text.isin(known) | text.startswith(FAILED)
+def is_placeholder(field: Column, text: Column) -> Column:
+    """Whether the field holds one of its placeholders; fields without any never do."""
+    known = [f"{f}: {t}" for f, texts in PLACEHOLDERS.items() for t in texts]
+    return F.concat(field, F.lit(": "), text).isin(known) | (field.isin(list(PLACEHOLDERS)) & text.startswith(FAILED))
 
 
 def _null_inside(x: Column) -> Column:
     return F.is_variant_null(x) | F.coalesce(F.exists(_as(x, "array<variant>"), lambda y: F.is_variant_null(y)), F.lit(False))
 
 
-def _held(field: str, x: Column) -> Column:
-    return F.coalesce(is_placeholder(field, _text_of(x)), F.lit(False))
+def _each(rule: str, items: Column, tests: list[tuple[str, str, Callable[[Column, Column], Column]]]) -> Column:
+    """Findings on the items of a list; tests: (severity, message, condition of (item, place))."""
 
+    def of(x: Column, i: Column) -> Column:
+        return F.array(*(_found(s, rule, test(x, i), F.concat(F.lit(f"{m} at "), i.cast("string"))) for s, m, test in tests))
 
-def _schema() -> list[Column]:
-    out = []
-    for f in [*TEXT_FIELDS, *LIST_FIELDS, "reviews"]:
-        kind = _kind(_get(f))
-        gone = kind.isNull() | (kind == "VOID")
-        good = {"text": ["STRING"], "list": ["ARRAY<STRING>", "ARRAY<VOID>"], "lists": ["ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>", "ARRAY<VOID>"]}["text" if f in TEXT_FIELDS else "lists" if f == "reviews" else "list"]
-        # ARRAY<VOID> is an empty list, but also a list of nulls
-        nulls = F.exists(_as(_get(f), "array<variant>"), _null_inside if f == "reviews" else lambda x: F.is_variant_null(x))
-        out += [_found(MISSING, "schema", f, gone, "missing"), _found(WARNING, "schema", f, gone, "missing"), _found(ERROR, "schema", f, ~gone & (~kind.isin(good) | F.coalesce(nulls, F.lit(False))), F.concat(F.lit("type "), kind))]
-    return out
+    return F.flatten(F.transform(items, of))
 
 
-def _texts() -> list[Column]:
-    out = []
-    text = {f: _as(_get(f), "string") for f in TEXT_FIELDS}
-    is_text = {f: F.coalesce(_kind(_get(f)) == "STRING", F.lit(False)) for f in TEXT_FIELDS}
-    out.append(_found(ERROR, "id", "id", ~is_text["id"] | ~text["id"].rlike(ID), text["id"]))
-    out.append(_found(ERROR, "title", "title", ~is_text["title"], "not a string"))
-    out.append(_found(WARNING, "title", "title", is_text["title"] & text["title"].rlike(r"(?U)^[\s\x1c-\x1f]*$"), "blank"))
-    for f, fits in (("release_year", YEAR), ("rating", RATING), ("budget", r"(?U)\d"), ("gross_worldwide", r"(?U)\d")):
-        held = is_placeholder(f, text[f])
-        out.append(_found(ERROR, f, f, ~is_text[f], "not a string"))
-        out.append(_found(COUNTED, f, f, is_text[f] & held, text[f]))
-        out.append(_found(WARNING, f, f, is_text[f] & ~held & ~text[f].rlike(fits), text[f]))
-    return out
-
-
-def _each(rule: str, field: str, items: Column, tests: list[tuple[str, str, object]]) -> Column:
-    """Findings on the items of a list; tests: (severity, message, condition of (item, place))."""
+def _values(items: DataFrame) -> DataFrame:
+    """One row a field of each item: seq, id, field, v (its value), kind, text and list (null if it is none)."""
+    name = F.expr("variant_get(item, '$.id')")
+    every = F.array(*(F.struct(F.lit(f).alias("field"), F.expr(f"variant_get(item, '$.{f}')").alias("v")) for f in ALL_FIELDS))
+    out = items.select("seq", F.when(_kind(name) == "STRING", _as(name, "string")).alias("id"), F.explode(every).alias("f")).select("seq", "id", "f.*")
+    out = out.withColumn("kind", _kind(F.col("v")))
+    is_list = F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))
+    return out.withColumns({"text": F.when(F.col("kind") == "STRING", _as(F.col("v"), "string")), "list": F.when(is_list, _as(F.col("v"), "array<variant>")), "is_list": is_list})
 
-    def of(x: Column, i: Column) -> Column:
-        rows = [F.when(F.coalesce(test(x, i), F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(rule).alias("rule"), F.lit(field).alias("field"), F.concat(F.lit(f"{m} at "), i.cast("string")).alias("message"))) for s, m, test in tests]
-        return F.array(*rows)
 
-    return F.coalesce(F.filter(F.flatten(F.transform(items, of)), lambda r: r.isNotNull()), F.array().cast(Finding))
+def _schema() -> list[Column]:
+    field, kind = F.col("field"), F.col("kind")
+    gone = kind.isNull() | (kind == "VOID")
+    good = (
+        F.when(field.isin(TEXT_FIELDS), kind == "STRING")
+        .when(field == "reviews", kind.isin("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>", "ARRAY<VOID>") & ~F.exists("list", _null_inside))
+        # ARRAY<VOID> is an empty list, but also a list of nulls
+        .otherwise(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists("list", lambda x: F.is_variant_null(x)))
+    )
+    return [_found(MISSING, "schema", gone, "missing"), _found(WARNING, "schema", gone, "missing"), _found(ERROR, "schema", ~gone & ~good, F.concat(F.lit("type "), kind))]
 
 
-def _text_of(x: Column) -> Column:
-    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+def _texts() -> list[Column]:
+    field, text = F.col("field"), F.col("text")
+    kinds = field.isin("release_year", "rating", "budget", "gross_worldwide")
+    fits = F.when(field == "release_year", text.rlike(YEAR)).when(field == "rating", text.rlike(RATING)).otherwise(text.rlike(r"(?U)\d"))
+    held = is_placeholder(field, text)
+    return [
+        _found(ERROR, "id", (field == "id") & (text.isNull() | ~text.rlike(ID)), _as(F.col("v"), "string")),
+        _found(ERROR, field, (kinds | (field == "title")) & text.isNull(), "not a string"),
+        _found(WARNING, "title", (field == "title") & text.rlike(_BLANK), "blank"),
+        _found(COUNTED, field, kinds & held, text),
+        _found(WARNING, field, kinds & ~held & ~fits, text),
+    ]
 
 
-_BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+def _lists() -> tuple[list[Column], Column]:
+    field, items = F.col("field"), F.col("list")
+    checked = field.isin(CHECKED_LISTS)
+    first = _text_of(F.get(items, F.lit(0)))
+    shown = F.transform(items, lambda x: F.to_json(x))
+    one = [
+        _found(ERROR, "list", checked & ~F.col("is_list"), "not a list"),
+        _found(COUNTED, "list", checked & first.isNotNull() & F.exists(items, lambda x: is_placeholder(field, _text_of(x)))),
+        _found(WARNING, "list", checked & (F.size(F.array_distinct(shown)) < F.size(shown)), "duplicates"),
+    ]
+    each = _each("list", items, [(ERROR, "not a string", lambda x, i: _text_of(x).isNull()), (WARNING, "blank", lambda x, i: _text_of(x).rlike(_BLANK))])
+    return one, F.when(checked, each)
 
 
-def _lists(min_len: int = 0) -> list[Column]:
-    out = []
-    for f in CHECKED_LISTS:
-        v = _get(f)
-        kind, items = _kind(v), _as(v, "array<variant>")
-        out.append(_found(ERROR, "list", f, ~_is_list(kind), "not a list"))
-        if min_len > 0:
-            out.append(_found(WARNING, "list", f, _is_list(kind) & (F.size(items) == 0), "empty"))
-        first = _text_of(F.get(items, F.lit(0)))
-        if f in PLACEHOLDERS:
-            out.append(_found(COUNTED, "list", f, first.isNotNull() & F.exists(items, partial(_held, f)), ""))
-        out.append(_each("list", f, items, [(ERROR, "not a string", lambda x, i: _text_of(x).isNull()), (WARNING, "blank", lambda x, i: _text_of(x).rlike(_BLANK))]))
-        shown = F.transform(items, lambda x: F.to_json(x))
-        out.append(_found(WARNING, "list", f, F.size(F.array_distinct(shown)) < F.size(shown), "duplicates"))
-    return out
-
-
-def _links() -> Column:
-    v = _get("related_links")
-    kind, items = _kind(v), _as(v, "array<variant>")
+def _links() -> tuple[list[Column], Column]:
+    field, kind, items = F.col("field"), F.col("kind"), F.col("list")
     texts = F.transform(items, _text_of)
     good = lambda x: F.coalesce(_text_of(x).startswith(LINK_START), F.lit(False))
     again = lambda x, i: good(x) & (F.array_position(texts, _text_of(x)) - 1 < i)
     tests = [(WARNING, "bad URL", lambda x, i: ~good(x)), (WARNING, "bad id", lambda x, i: good(x) & (F.regexp_extract(_text_of(x), URL_ID, 1) == "")), (WARNING, "duplicate link", again)]
+    links = field == "related_links"
     # an absent field is an empty list, an explicit null is not a list
-    return F.concat(_found(ERROR, "links", "related_links", kind.isNotNull() & ~_is_list(kind), "not a list"), _each("links", "related_links", items, tests))
-
-
-def _reviews() -> Column:
-    v = _get("reviews")
-    kind, items = _kind(v), _as(v, "array<variant>")
-    listed = lambda x: F.schema_of_variant(x).startswith("ARRAY")
-    parts = lambda x: F.try_variant_get(x, "$", "array<variant>")
-    size = lambda x: F.coalesce(F.size(parts(x)), F.lit(0))
-    text = lambda x: F.when(size(x) > 0, _text_of(F.get(parts(x), F.lit(0)))).otherwise("")
-    score = lambda x: F.when(size(x) > 1, _text_of(F.get(parts(x), F.lit(1)))).otherwise("N/A")
-    odd = lambda x: (score(x) != "N/A") & ~score(x).rlike(r"(?U)^\d{1,2}$")
+    return [_found(ERROR, "links", links & kind.isNotNull() & ~F.col("is_list"), "not a list")], F.when(links, _each("links", items, tests))
+
+
+def _reviews() -> tuple[list[Column], Column]:
+    # of each review: whether it is a list, its size, its text and its score
+    parts = lambda x: _as(x, "array<variant>")
+    seen = F.transform("list", lambda x: F.struct(F.schema_of_variant(x).startswith("ARRAY").alias("listed"), parts(x).alias("parts")))
+    size = lambda x: F.coalesce(F.size(x["parts"]), F.lit(0))
+    seen = F.transform(seen, lambda x: F.struct(
+        x["listed"].alias("listed"), size(x).alias("size"),
+        F.when(size(x) > 0, _text_of(F.get(x["parts"], F.lit(0)))).otherwise("").alias("text"),
+        F.when(size(x) > 1, _text_of(F.get(x["parts"], F.lit(1)))).otherwise("N/A").alias("score"),
+    ))
     tests = [
-        (ERROR, "not a list", lambda x, i: ~listed(x)),
-        (WARNING, "short", lambda x, i: listed(x) & (size(x) < 2)),
-        (WARNING, "no text", lambda x, i: listed(x) & (text(x).isNull() | text(x).rlike(_BLANK))),
-        (WARNING, "score not a string", lambda x, i: listed(x) & score(x).isNull()),
-        (WARNING, "odd score", lambda x, i: listed(x) & odd(x)),
-        (WARNING, "score out of range", lambda x, i: listed(x) & score(x).rlike("^[0-9]{1,2}$") & (score(x).try_cast("int") > 10)),
+        (ERROR, "not a list", lambda x, i: ~x["listed"]),
+        (WARNING, "short", lambda x, i: x["listed"] & (x["size"] < 2)),
+        (WARNING, "no text", lambda x, i: x["listed"] & (x["text"].isNull() | x["text"].rlike(_BLANK))),
+        (WARNING, "score not a string", lambda x, i: x["listed"] & x["score"].isNull()),
+        (WARNING, "odd score", lambda x, i: x["listed"] & (x["score"] != "N/A") & ~x["score"].rlike(r"(?U)^\d{1,2}$")),
+        (WARNING, "score out of range", lambda x, i: x["listed"] & x["score"].rlike("^[0-9]{1,2}$") & (x["score"].try_cast("int") > 10)),
     ]
-    return F.concat(_found(ERROR, "reviews", "reviews", ~_is_list(kind), "not a list"), _each("reviews", "reviews", items, tests))
+    mine = F.col("field") == "reviews"
+    return [_found(ERROR, "reviews", mine & ~F.col("is_list"), "not a list")], F.when(mine, _each("reviews", seen, tests))
 
 
 def findings(items: DataFrame) -> DataFrame:
-    """Findings on items(seq, item variant), duplicate ids included (with the id's first seq)."""
+    """Findings on items(seq, item variant), duplicate ids included (with the id's first seq).
+
+    Each field is a row of its own, so that a rule stands once in the plan for all
+    fields that it is for.
+    """
     is_object = F.schema_of_variant("item").startswith("OBJECT")
-    rules = F.concat(*_schema(), *_texts(), *_lists(), _links(), _reviews())
-    not_object = _found(ERROR, "object", "", F.lit(True), "not an object")
-    name = F.when(_kind(_get("id")) == "STRING", _as(_get("id"), "string"))
-    objects = items.where(is_object).select("seq", name.alias("id"), rules.alias("found"))
-    others = items.where(~is_object).select("seq", F.lit(None).cast("string").alias("id"), not_object.alias("found"))
-    rows = objects.unionByName(others).select("seq", "id", F.explode("found").alias("f")).select("seq", "id", "f.*")
+    parts = [_lists(), _links(), _reviews()]
+    one = [*_schema(), *_texts(), *(c for some, _ in parts for c in some)]
+    each = [F.coalesce(c, F.array().cast(Finding)) for _, c in parts]
+    objects = _values(items.where(is_object)).select("seq", "id", "field", F.explode(F.array_compact(F.concat(F.array(*one), *each))).alias("f"))
+    others = items.where(~is_object).select("seq", F.lit(None).cast("string").alias("id"), F.lit(ERROR).alias("severity"), F.lit("object").alias("rule"), F.lit("").alias("field"), F.lit("not an object").alias("message"))
+    rows = objects.select("seq", "id", "f.severity", "f.rule", "field", "f.message").unionByName(others)
     return rows.unionByName(
         duplicate_ids(items).select("seq", "id", F.lit(ERROR).alias("severity"), F.lit("unique").alias("rule"), F.lit("id").alias("field"), F.concat(F.col("n").cast("string"), F.lit(" records")).alias("message"))
     )
 
 
 def duplicate_ids(items: DataFrame) -> DataFrame:
-    ids = items.where(F.schema_of_variant("item").startswith("OBJECT")).select("seq", F.when(_kind(_get("id")) == "STRING", _as(_get("id"), "string")).alias("id"))
+    ids = items.where(F.schema_of_variant("item").startswith("OBJECT")).select("seq", F.expr("variant_get(item, '$.id')").alias("v"))
+    ids = ids.select("seq", F.when(_kind(F.col("v")) == "STRING", _as(F.col("v"), "string")).alias("id"))
     return ids.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where("n > 1")
 
 
