@@ -30,7 +30,7 @@ lw AS (SELECT doc_id, host, line, len(lw) AS n, regexp_replace(translate(array_t
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
 dl AS (SELECT doc_id, host, norm, sum(n) AS words FROM lw GROUP BY ALL),
 hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-freq AS (SELECT host, norm, holders FROM (SELECT host, norm, count(*) AS holders FROM dl GROUP BY ALL) JOIN hosts USING (host) WHERE holders >= {Q.LEAST_DOCS} AND holders >= docs * {Q.LEAST_PART}),
+freq AS (SELECT host, norm, holders FROM (SELECT host, norm, count(*) AS holders FROM dl GROUP BY ALL) JOIN hosts USING (host) WHERE holders >= {Q.LEAST_DOCS} AND holders >= least(docs * {Q.LEAST_PART}, {Q.MOST_DOCS})),
 f AS (SELECT dl.*, holders FROM dl JOIN freq USING (host, norm)),
 mainly AS (SELECT f.doc_id, sum(words) <= len(any_value(w)) * {Q.MAINLY} AS other FROM f JOIN d ON d.doc_id = f.doc_id GROUP BY f.doc_id),
 gone AS (SELECT host, norm FROM f JOIN mainly USING (doc_id) GROUP BY ALL HAVING sum(CAST(other AS INTEGER)) >= {Q.LEAST_DOCS} AND sum(CAST(other AS INTEGER)) >= any_value(holders) * {Q.AMONG_OTHERS}),

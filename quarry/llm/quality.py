@@ -9,8 +9,10 @@ deduplication. A document that loses more than DEPLETED of its words to removed
 lines is rejected. So are those that fail the base rules.
 
 Defined cases: a null or empty text has no words and fails; a null host is a
-host of its own; repeated rows count as documents of their own; an empty table
-gives an empty result; other columns of the input are ignored.
+host of its own; repeated rows, and rows that share a doc_id, count as documents
+of their own; a line or a loss at just the limit (ties) is frequent, and not
+depleted; very long texts are read whole; an empty table gives an empty result;
+other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .store import written
 
-#: A line is frequent in a host from this many documents, and this part of the host's documents, on.
-LEAST_DOCS, LEAST_PART = 30, 0.005
+#: A line is frequent in a host from this many documents, and this part of the host's documents, on; of a large host it never takes more than MOST_DOCS.
+LEAST_DOCS, LEAST_PART, MOST_DOCS = 30, 0.005, 1000
 #: A document consists mainly of frequent lines beyond this part of its words.
 MAINLY = 0.5
 #: Part of the holding documents that must consist mainly of other text.
@@ -122,7 +124,7 @@ def rated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lines = scan.select("row", "host", "n_words", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", "n_words", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     hosts = scan.groupBy("host").agg(F.count("*").alias("docs"))
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("holders")).where(F.col("holders") >= LEAST_DOCS)
-    frequent = counted.join(hosts, "host").where(F.col("holders") >= F.col("docs") * LEAST_PART).select("host", "line", "holders")
+    frequent = counted.join(hosts, "host").where(F.col("holders") >= F.least(F.col("docs") * LEAST_PART, F.lit(float(MOST_DOCS)))).select("host", "line", "holders")
     found = written(spark, lines.join(frequent, ["host", "line"]), "lines")
     mainly = found.groupBy("row").agg((F.sum("words") <= F.first("n_words") * MAINLY).alias("other"))
     removed = (

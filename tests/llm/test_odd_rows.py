@@ -152,3 +152,13 @@ def test_very_long_and_empty_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article>" + "<p>Some words of it.</p>" * 20_000, 3)], "page_id bigint, url string, html string, text int")
     assert pages.extract(df).first()["n_chars"] == 20_000 * 18 - 1
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_the_limit_of_a_large_host_is_bounded(spark, monkeypatch):
+    line = prose(30, R)
+    rows = [(i, prose(60, R) + ("\n" + line if i < 40 else ""), "h") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    monkeypatch.setattr(quality, "LEAST_PART", 0.5)
+    assert quality.rated(spark, df).where("removed_words > 0").count() == 0
+    monkeypatch.setattr(quality, "MOST_DOCS", 35)
+    assert quality.rated(spark, df).where("removed_words = 30").count() == 40
