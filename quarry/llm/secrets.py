@@ -24,6 +24,7 @@ import hashlib
 import json
 import random
 import string
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,7 +119,10 @@ def _candidate_values(text: Column) -> Column:
         inner = F.regexp_replace(x["m"], "^[^:]*:", "")
         return F.struct(inner.alias("m"), (x["end"] - F.length(inner)).cast("int").alias("start"), x["end"].alias("end"))
 
-    cued = F.when(text.rlike(rf"(?i){_any(CUES)}"), F.transform(matches(text, CUED), value)).otherwise(none)
+    # every credential word has one of these
+    low = F.lower(text)
+    cue = reduce(Column.__or__, (low.contains(x) for x in ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "aws")))
+    cued = F.when(cue, F.transform(matches(text, CUED), value)).otherwise(none)
     urls = F.when(text.contains("://"), F.transform(matches(text, IN_URL), password)).otherwise(none)
     found = F.transform(F.filter(F.concat(tokens, cued, urls), lambda x: F.length(x["m"]) >= 3), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("until"), x["m"].alias("m")))
     zero = F.struct(none.alias("a"), F.lit(0).alias("at"))
