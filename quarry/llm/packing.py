@@ -12,7 +12,10 @@ number of rows: it is sent to all tasks, where each piece, by its number within
 its length, finds its place.
 
 Defined cases: a null or empty text is one piece with the closing id alone;
-repeated rows are packed each; an empty table gives an empty result.
+repeated rows, and rows that share a doc_id or have none, are packed each; pieces
+of one length are exchangeable (ties) and go by doc_id and piece; very long texts
+are cut into pieces, whole; an empty table gives an empty result; other columns of
+the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
