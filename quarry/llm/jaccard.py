@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .components import components
 from .ordering import OPEN, ROWS, only, recurring, rows_of
-from .store import written
+from .store import scope, written
 
 #: Entries that more rows than this hold are put last; the number of such entries that are sent to tasks.
 COMMON, ORDERED = 8, 1 << 18
@@ -316,6 +316,11 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
 
     Two documents are linked when 100 * common n-grams >= percent * all n-grams of both.
     """
+    with scope(spark):  # the result is written, and what was on its way goes
+        return written(spark, _similar(spark, docs, words, percent), "similar")
+
+
+def _similar(spark: SparkSession, docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = written(spark, texts.mapInArrow(_scanner(words), SCAN), "scan")
     classes = scan.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), *(F.first(b).alias(b) for b in BITS))

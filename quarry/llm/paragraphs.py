@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import jaccard as J
 from .ordering import numbered, only, with_lists
-from .store import release, written
+from .store import release, scope, written
 
 WORDS, PERCENT = 5, 80
 LEAST, LONG, NEAR = 8, 32, 8
@@ -267,8 +267,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_repeated, n_removed, first_ids, kept_text of each document."""
     texts = numbered(spark, docs)
-    found = repeated(spark, texts).select("row", F.col("removed").alias("at"), "members", "first_ids")
-    having, others = with_lists(texts, written(spark, found, "repeated"))
+    with scope(spark):
+        found = written(spark, repeated(spark, texts).select("row", F.col("removed").alias("at"), "members", "first_ids"), "repeated")
+    having, others = with_lists(texts, found)
     none = F.array().cast("array<long>")
     columns = ["doc_id", "text", F.coalesce("at", none).alias("at"), F.coalesce("members", F.lit(0)).cast("long").alias("members"), F.coalesce("first_ids", none).alias("first_ids")]
     rows = having.select(columns)

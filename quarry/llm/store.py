@@ -3,33 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stored import shared_folder
 
 #: Tables that are there, oldest first.
 _paths: list[str] = []
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Where none is set, one of our own if all runs on this machine, as in tests; a cluster's executors don't share it, so there it is an error."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not hasattr(folder, "own"):
-        folder.own = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return folder.own
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again. The files go with their scope, or when the application ends."""
-    path = f"{folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _paths.append(path)
     atexit.register(_drop, spark, path)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .parsing import TRIGGER, phrases
 from .ordering import ROWS, numbered, recurring, rows_of, with_lists
-from .store import written
+from .store import scope, written
 
 SPAN = 200
 #: Starts in a block of step 2.
@@ -183,7 +183,8 @@ def cover(spark: SparkSession, texts: DataFrame, span: int = SPAN) -> DataFrame:
 def remove_repeats(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     texts = numbered(spark, docs)
-    ranges = written(spark, cover(spark, texts, span).distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "ranges")
+    with scope(spark):
+        ranges = written(spark, cover(spark, texts, span).distinct().groupBy("row").agg(F.collect_list("at").alias("at")), "ranges")
     having, others = with_lists(texts, ranges)
     none = F.array().cast("array<long>")
     out = having.select("doc_id", "text", F.coalesce("at", none).alias("at"))

@@ -28,7 +28,7 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark, texts):
-    """The documents, with a repeated row and columns whose names the operators use inside."""
+    """The documents, with columns whose names the operators use inside; repeated rows are in test_odd_rows."""
     rows = [(i, t, ["en", "fr", None][i % 3], f"src{i % 4}" if i % 7 else None, len(t or ""), i, "x", -1) for i, t in texts.items()]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, secrets string, n int").repartition(5).cache()
 
